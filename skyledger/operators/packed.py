@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from skyledger.functions.text import BLANKS, strip
 
@@ -17,9 +18,9 @@ DELIMITERS = (r"\r\n", r"\t", ";；", ",，、", "|", "¦", "•·", SLASH)
 #: 1 / TOKEN_SHARE * (tokens a value) of them; any other token is of the class of its shape.
 TOKEN_SHARE = 0.002
 #: Bits that a delimiter and a way of quoting cost to name.
-DIALECT_BITS = 3.0
+DIALECT_BITS = 2.0
 #: Weight of the classes' own frequencies in the smoothed transitions.
-PRIOR = 0.5
+PRIOR = 0.02
 
 #: Explicit notations say by themselves where each value begins and ends.
 TAGGED = r"^[\s=]*[a-z]{2,8}(?:[-_][A-Za-z0-9]{2,4})?\|(?!\|)"
@@ -81,12 +82,12 @@ def explicit_values(s: Column) -> Column:
 
 
 def _tokens(v: Column) -> Column:
-    return F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(v, F.lit(r"([\p{L}\p{M}\p{N}'.&]+|[^\s\p{L}\p{M}\p{N}])"), F.lit(1)), F.array(F.lit("</s>")))
+    return F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(v, F.lit(r"([ \t]/[ \t]|[\r\n\t]|[\p{L}\p{M}\p{N}'.&]+|[^\s\p{L}\p{M}\p{N}])"), F.lit(1)), F.array(F.lit("</s>")))
 
 
 def _shape(t: Column) -> Column:
     return (
-        F.when(t.rlike(r"^[^\p{L}\p{M}\p{N}'.&]$"), t).when(t.rlike(r"^\p{IsLatin}+$") & (F.upper(t) == t), "<AA>").when(t.rlike(r"^[\p{IsLatin}'.&]+$"), "<Aa>")
+        F.when(t.rlike(r"^[^\p{L}\p{M}\p{N}'.&]+$"), t).when(t.rlike(r"^\p{IsLatin}+$") & (F.upper(t) == t), "<AA>").when(t.rlike(r"^[\p{IsLatin}'.&]+$"), "<Aa>")
         .when(t.rlike(r"^\p{N}+$"), "<9>").when(t.rlike(r"^\p{IsCyrillic}+$"), "<cyr>").otherwise("<?>")
     )
 
@@ -136,7 +137,7 @@ def _parse(s: Column, dialect: Column) -> Column:
     none = F.size(dialect["delimiters"]) == 0
     quoted = F.when(none, F.array(s)).otherwise(_cut(s, cls, False))
     raw = F.when(none, F.array(s)).otherwise(F.split(s, F.concat(F.lit("["), cls, F.lit("]"))))
-    back = lambda x: F.replace(x, F.lit(SLASH), F.lit(" / "))
+    back = lambda x: F.replace(x, F.lit(SLASH), F.lit("/"))
     return _solid(F.when(dialect["quotes"], F.transform(quoted, lambda x: back(_unquote(x)))).otherwise(F.transform(raw, lambda x: strip(back(x)))))
 
 
@@ -147,7 +148,7 @@ def split_packed(rows: DataFrame, key: str, field: str, out: str = "value") -> D
     values come the code lengths of token transitions, and every other field is parsed by each dialect (a set of its
     delimiters, quotes heeded or not) and takes the one with the shortest description: its values' bits plus the
     dialect's own. Ties go to the dialect with more values, then to its name. Null and blank fields and empty places yield
-    no row. Blanks around ' / ' come back as single spaces.
+    no row. A private-use character U+E000 in a field reads as a slash.
     """
     fields = rows.where(F.col(field).isNotNull()).select(F.col(field).alias("_f")).where(strip(F.col("_f")) != "").distinct()
     fields = fields.withColumn("_e", explicit_values(F.col("_f")))
@@ -158,8 +159,7 @@ def split_packed(rows: DataFrame, key: str, field: str, out: str = "value") -> D
     parsed = (
         plain.select("_f", F.explode(_candidates(F.col("_s"))).alias("_d"), "_s")
         .select("_f", "_d", _parse(F.col("_s"), F.col("_d")).alias("_v"))
-        .where(F.size("_v") > 0)
-        .withColumn("_many", F.count("*").over(_by_field()) > 1)
+        .withColumn("_many", F.count("*").over(W.partitionBy("_f")) > 1)
     )
     bits = (
         parsed.where("_many")
@@ -173,9 +173,3 @@ def split_packed(rows: DataFrame, key: str, field: str, out: str = "value") -> D
     best = parsed.join(bits, ["_f", "_d"], "left").groupBy("_f").agg(F.min_by("_v", F.struct(F.round(cost, 6), -F.size("_v"), F.col("_d").cast("string"))).alias("_v"))
     values = fields.where(F.col("_e").isNotNull()).select("_f", F.col("_e").alias("_v")).unionByName(best)
     return rows.select(key, F.col(field).alias("_f")).join(values, "_f").select(key, F.posexplode("_v").alias("_p", out)).select(key, (F.col("_p") + 1).alias("pos"), out)
-
-
-def _by_field():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("_f")
