@@ -1,0 +1 @@
+"""Operators for training-data pipelines. Nothing else in the package imports this subpackage."""
