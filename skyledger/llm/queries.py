@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.text import FILLERS
-from skyledger.llm import packing, survivors, tokens
+from skyledger.llm import packing, subjects, survivors, tokens
 from skyledger.sources.tables import table
 
 
@@ -33,7 +33,11 @@ def p9_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subjects"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p8_ids, p9_containers, p10_found)}
 
 _FILL = ", ".join(f"'{f}'" for f in FILLERS)
 _RAW = f"""WITH raw AS (SELECT id, type, import_date, CAST(data AS JSON) AS d FROM operator_sources),
