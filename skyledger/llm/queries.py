@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.text import FILLERS
-from skyledger.llm import packing, subjects, survivors, tokens
+from skyledger.llm import matching, packing, subjects, survivors, tokens, variants
 from skyledger.sources.tables import table
 
 
@@ -25,6 +25,25 @@ def p1_bundles(spark: SparkSession, sf: str) -> DataFrame:
     return survivors.operator_survivors(table(spark, sf, "operator_sources"), table(spark, sf, "source_types"), RECORD_BUNDLES)
 
 
+def _typed_names(spark: SparkSession, sf: str) -> DataFrame:
+    fields = (("aircraft", "owner"), ("operators", "name"), ("operator_sources", "name"))
+    parts = [table(spark, sf, t).select(F.col(c).alias("name")) for t, c in fields]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.name_pairs(variants.name_entities(_typed_names(spark, sf)))
+
+
+def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every candidate pair with its confidence."""
+    return matching.match_operators(table(spark, sf, "operator_sources"), table(spark, sf, "operators")).select("source_id", "operator_id", F.round("confidence", 4).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_operators(table(spark, sf, "operator_sources"), table(spark, sf, "operators")).where(F.col("confidence") >= matching.ACCEPT).select("source_id", "operator_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -37,7 +56,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.subject_areas(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p8_ids, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_bundles, p4_found, p5_found, p5_matches, p8_ids, p9_containers, p10_found)}
 
 _FILL = ", ".join(f"'{f}'" for f in FILLERS)
 _RAW = f"""WITH raw AS (SELECT id, type, import_date, CAST(data AS JSON) AS d FROM operator_sources),

@@ -7,6 +7,7 @@ counts only through terms that are verified to tell subjects apart (MIN_BITS), s
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,9 @@ FIT_ON = 50_000
 #: Terms count from this divergence (in nats) of their subjects from the corpus's subjects.
 MIN_BITS = 0.5
 #: Rounds of propagation after the first estimate.
-ROUNDS = 3
+ROUNDS = 2
+#: Term tables of at most so many rows are broadcast.
+BROADCAST_TERMS = 100_000
 #: Share of a trusted seed's own label in what it passes on.
 CLAMP = 0.7
 #: A label is trusted where the document's own terms give its subject at least this share of the largest one's.
@@ -57,25 +60,37 @@ class _Words(dict):
         return words
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, terms array<string>, counts array<int>) of texts that aren't null or blank; sorted terms, each once."""
+def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[float]] | None = None) -> DataFrame:
+    """(key, terms array<string>, lf array<double>) of texts that aren't null or blank: sorted terms, each once, and the
+    logarithms of one more than their counts. With a model of terms also q, the subjects' shares among its terms, null
+    where the text has none of them.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
+        known = shared.value if shared else {}
+        k = len(next(iter(known.values()), [0.0])) - 1
         for batch in batches:
-            terms, counts = [], []
+            terms, lf, q = [], [], []
             for t in batch.column(1):
                 n: Counter = Counter()
-                for piece, k in Counter(own_text(t.as_py()).split()).items():
+                for piece, c in Counter(own_text(t.as_py()).split()).items():
                     for w in words[piece]:
-                        n[w] += k
+                        n[w] += c
                 order = sorted(n)
+                logs = [math.log1p(n[w]) for w in order]
                 terms.append(order)
-                counts.append([n[w] for w in order])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))], names=[key, "terms", "counts"])
+                lf.append(logs)
+                if shared:
+                    hits = [(known[w], x) for w, x in zip(order, logs) if w in known]
+                    total = sum(m[k] * x for m, x in hits)
+                    q.append([sum(m[i] * x for m, x in hits) / total for i in range(k)] if total > 0 else None)
+            cols = [batch.column(0), pa.array(terms, pa.list_(pa.string())), pa.array(lf, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(q, pa.list_(pa.float64()))] * bool(shared), names=[key, "terms", "lf", "q"][: len(cols) + bool(shared)])
 
-    return docs.where(strip(F.col(text)) != "").select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, counts array<int>")
+    return docs.where(strip(F.col(text)) != "").select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<double>" + ", q array<double>" * bool(shared))
 
 
 def clean_labels(labels: DataFrame, subjects: DataFrame, key: str, subject: str) -> DataFrame:
@@ -88,32 +103,48 @@ def _sum_of(shares: str, names: list[str]) -> list[Column]:
     return [F.sum(F.col(shares)[i]).alias(f"s{i}") for i in range(len(names))]
 
 
-def _term_model(edges: DataFrame, names: list[str], base: list[float]) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """The table to be broadcast where it has been checked to be small; the same join by a shuffle else."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
+def _term_model(sums: DataFrame, names: list[str], base: list[float]) -> DataFrame:
     """(term, g array<double>, w): a verified term's shares of the subjects times its weight, and the weight."""
-    sums = edges.groupBy("term").agg(*_sum_of("shares", names))
     n = sum((F.col(f"s{i}") for i in range(len(names))), F.lit(0.0))
     p = [(F.col(f"s{i}") + F.lit(PRIOR * b)) / (n + PRIOR) for i, b in enumerate(base)]
     w = sum((q * F.log(q / F.lit(b)) for q, b in zip(p, base)), F.lit(0.0))
     return sums.select("term", F.array(*p).alias("_p"), w.alias("w")).where(F.col("w") >= MIN_BITS).select("term", F.transform("_p", lambda x: x * F.col("w")).alias("g"), "w")
 
 
-def _estimate(edges: DataFrame, model: DataFrame, key: str, names: list[str]) -> DataFrame:
+def _links(rows: DataFrame, keep: list[str]) -> DataFrame:
+    pairs = F.explode(F.arrays_zip("terms", "lf")).alias("_e")
+    return rows.select(*keep, pairs).select(*keep, F.col("_e.terms").alias("term"), F.col("_e.lf").alias("lf"))
+
+
+def _sums(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(term, s0, s1, ...): what the documents that hold a term pass on to it, added up before the shuffle."""
+    return _links(rows, ["shares"]).groupBy("term").agg(*_sum_of("shares", names))
+
+
+def _estimate(links: DataFrame, model: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(key, q array<double>): shares of the subjects among a document's verified terms."""
-    joined = edges.select(key, "term", "lf").join(model, "term")
+    joined = links.join(_small(model), "term")
     total = F.sum(F.col("lf") * F.col("w"))
     return joined.groupBy(key).agg(F.array(*[F.sum(F.col("lf") * F.col("g")[i]) / total for i in range(len(names))]).alias("q"))
 
 
-def _passed_on(q: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
-    """(key, shares): estimates sharpened, trusted seeds clamped."""
-    square = F.transform("q", lambda x: x * x)
+def _sharpened(q: Column) -> Column:
+    square = F.transform(q, lambda x: x * x)
     total = F.aggregate(square, F.lit(0.0), lambda a, x: a + x)
-    p = F.transform(square, lambda x: x / total)
-    y = F.zip_with("y", "q", lambda y, x: F.when(x >= TRUSTED * F.array_max("q"), y).otherwise(F.lit(0.0)))
-    ys = F.aggregate("_y", F.lit(0.0), lambda a, x: a + x)
-    out = q.join(seeds, key, "left").withColumn("_y", y).withColumn("_ys", ys).withColumn("_p", p)
-    clamped = F.zip_with("_p", "_y", lambda x, y: (1 - CLAMP) * x + CLAMP * y / F.col("_ys"))
-    return out.select(key, F.when(F.col("_ys") > 0, clamped).otherwise(F.col("_p")).alias("shares"))
+    return F.transform(square, lambda x: x / total)
+
+
+def _clamped(q: Column, y: Column) -> Column:
+    """What a document passes on: its sharpened estimate, with the trusted labels of a seed held to CLAMP."""
+    trusted = F.zip_with(y, q, lambda y, x: F.when(x >= TRUSTED * F.array_max(q), y).otherwise(F.lit(0.0)))
+    total = F.aggregate(trusted, F.lit(0.0), lambda a, x: a + x)
+    own = _sharpened(q)
+    return F.when(F.coalesce(total, F.lit(0.0)) > 0, F.zip_with(own, trusted, lambda x, y: (1 - CLAMP) * x + CLAMP * y / total)).otherwise(own)
 
 
 def _base(shares: DataFrame, names: list[str]) -> list[float]:
@@ -128,35 +159,39 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
     """(key, subject): the areas of every document whose text isn't null or blank, one or more.
 
     A document without any term that tells subjects apart gets none. Without labels, or without subjects, there are no
-    rows. Repeated documents ids are one document each; labels of unknown documents are ignored.
+    rows. Rows of one document id are one document; labels of unknown documents are ignored.
     """
     names = [r[0] for r in subjects.select(F.col(subject)).where(strip(F.col(subject)) != "").distinct().orderBy(subject).collect()]  # a fixed list of areas
     if not names:
-        return docs.select(key).limit(0).withColumn(subject, F.lit(""))
-    flat = written(term_counts(docs, key, text), "terms")
-    place = {n: F.lit(i) for i, n in enumerate(names)}
+        return docs.select(key, F.lit("").alias(subject)).limit(0)
     seeds = clean_labels(labels, subjects, key, subject).groupBy(key).agg(F.collect_set(subject).alias("_l"))
-    seeds = seeds.select(key, F.array(*[F.when(F.array_contains("_l", n), 1.0 / F.size("_l")).otherwise(0.0) for n in place]).alias("y"))
-
-    def edges(of: DataFrame) -> DataFrame:
-        pairs = F.explode(F.arrays_zip("terms", "counts")).alias("_e")
-        keep = [c for c in of.columns if c not in ("terms", "counts")]
-        return of.select(*keep, pairs).select(*keep, F.col("_e.terms").alias("term"), F.log1p("_e.counts").alias("lf"))
-
-    # First weights, from a bounded sample of labelled documents.
-    fit = flat.join(seeds.orderBy(F.xxhash64(key), key).limit(FIT_ON).withColumnRenamed("y", "shares"), key)
-    first = written(_term_model(edges(fit), names, _base(fit, names)), "model")
-    # First estimates of all documents; their terms, too, then speak for their subjects.
-    q = _estimate(edges(flat), first, key, names)
-    shares = written(_passed_on(q, seeds, key), "shares")
-    model = written(_term_model(edges(flat.join(shares, key)), names, _base(shares, names)), "model")
-    # From here on only verified terms are carried.
-    verified = written(edges(flat).join(model.select("term"), "term", "left_semi"), "links")
+    seeds = written(seeds.select(key, F.array(*[F.when(F.array_contains("_l", n), 1.0 / F.size("_l")).otherwise(0.0) for n in names]).alias("y")), "seeds")
+
+    # First weights, from a bounded sample of labelled documents, so the driver holds a bounded model.
+    sample = seeds.orderBy(F.xxhash64(key), key).limit(FIT_ON)
+    fit = written(term_counts(docs.join(sample, key, "left_semi"), key, text).join(sample.withColumnRenamed("y", "shares"), key), "fit")
+    first = {r["term"]: [*r["g"], r["w"]] for r in _term_model(_sums(fit, names), names, _base(fit, names)).collect()}
+
+    # First estimates of all documents as their terms are counted; all terms then learn from all documents.
+    flat = written(term_counts(docs, key, text, first), "terms")
+    known = flat.where(F.col("q").isNotNull())
+    own = known.select("terms", "lf", _sharpened(F.col("q")).alias("shares"))
+    held = known.join(seeds, key)  # of seeds, what clamping adds to their own estimates
+    held = held.select("terms", "lf", F.zip_with(_clamped(F.col("q"), F.col("y")), _sharpened(F.col("q")), lambda a, b: a - b).alias("shares"))
+    both = own.unionByName(held)
+    model = written(_term_model(_sums(both, names), names, _base(both, names)), "model")
+
+    # From here on only links through verified terms are carried.
+    links = _links(flat, [key]).join(_small(model.select("term")), "term", "left_semi")
+    links = written(links.groupBy(key).agg(F.collect_list(F.struct("term", "lf")).alias("_e")).select(key, F.col("_e.term").alias("terms"), F.col("_e.lf").alias("lf")), "links")
     for _ in range(rounds - 1):
-        shares = written(_passed_on(_estimate(verified, model, key, names), seeds, key), "shares")
-        model = written(_term_model(verified.join(shares, key), names, _base(shares, names)), "model")
-    q = _estimate(verified, model, key, names).join(seeds, key, "left")
+        q = _estimate(_links(links, [key]), model, key, names).join(seeds, key, "left")
+        shares = links.join(q.select(key, _clamped(F.col("q"), F.col("y")).alias("shares")), key)
+        shares = written(shares, "shares")
+        model = written(_term_model(_sums(shares, names), names, _base(shares, names)), "model")
+    q = _estimate(_links(links, [key]), model, key, names).join(seeds, key, "left")
     label = F.array(*[F.lit(n) for n in names])
-    scored = q.select(key, F.array_max("q").alias("_top"), F.explode(F.arrays_zip(label.alias("s"), F.col("q").alias("x"), F.coalesce("y", F.array(*[F.lit(0.0)] * len(names))).alias("y"))).alias("_z"))
+    none = F.array(*[F.lit(0.0)] * len(names))
+    scored = q.select(key, F.array_max("q").alias("_top"), F.explode(F.arrays_zip(label.alias("s"), F.col("q").alias("x"), F.coalesce("y", none).alias("y"))).alias("_z"))
     ok = (F.col("_z.x") >= KEEP * F.col("_top")) | ((F.col("_z.y") > 0) & (F.col("_z.x") >= TRUSTED * F.col("_top")))
     return scored.where(ok).select(key, F.col("_z.s").alias(subject))
