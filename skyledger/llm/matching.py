@@ -20,16 +20,16 @@ from skyledger.llm.shared import written
 #: Usual parameters of BM25.
 K1, B = 1.2, 0.3
 #: Candidates count from this share of the score that the query's tokens could reach together.
-LEAST_SHARE = 0.3
-#: A candidate is among a record's nearest from this part of the largest share that the record reaches, and must be so for
-#: the item, too.
-NEAR = 0.6
+LEAST_SHARE = 0.25
+#: A candidate is among a record's nearest from this part of the record's best score, and must be among the item's nearest,
+#: from this part of the largest share of any record; a mistyped name alone halves its share.
+NEAR, NEAR_ITEM = 0.6, 0.3
 #: Part of a different code's odds that counts against equal names: one mistyped code doesn't make two entities.
 MISTYPED = 0.25
 #: Pairs that the calibration is fitted on, at most.
 FIT_ON = 20_000
 #: Least confidence of a match.
-ACCEPT = 0.5
+ACCEPT = 0.4
 
 
 def code_tokens(icao: Column, iata: Column) -> Column:
@@ -167,7 +167,7 @@ def match(records: DataFrame, items: DataFrame) -> DataFrame:
     one = lambda c: c.cast("double")
     pairs = written(
         pairs.select("record", "item", "icao", "iata", "level", F.lit(1.0).alias("one"), (F.col("score") / F.col("own")).alias("share"), gap.alias("gap"), one(F.col("level") == 3).alias("same"), one(F.col("level") == 2).alias("part"), one(F.col("level") == 1).alias("coined"),
-            ((F.col("score") >= NEAR * F.col("_best")) & (F.col("score") / F.col("own") >= NEAR * F.col("_theirs"))).alias("mutual")),
+            ((F.col("score") >= NEAR * F.col("_best")) & (F.col("score") / F.col("own") >= NEAR_ITEM * F.col("_theirs"))).alias("mutual")),
         "pairs",
     )
     w, agree, differ = calibrate(pairs)
