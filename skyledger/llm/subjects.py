@@ -27,6 +27,8 @@ MIN_BITS = 0.5
 ROUNDS = 2
 #: Term tables of at most so many rows are broadcast.
 BROADCAST_TERMS = 100_000
+#: Labelled documents are broadcast up to this number of rows of one key and one share per subject.
+BROADCAST_SEEDS = 150_000
 #: Share of a trusted seed's own label in what it passes on.
 CLAMP = 0.7
 #: A label is trusted where the document's own terms give its subject at least this share of the largest one's.
@@ -61,7 +63,7 @@ class _Words(dict):
 
 
 def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[float]] | None = None) -> DataFrame:
-    """(key, terms array<string>, lf array<double>) of texts that aren't null or blank: sorted terms, each once, and the
+    """(key, terms array<string>, lf array<float>) of texts that aren't null or blank: terms, each once, and the
     logarithms of one more than their counts. With a model of terms also q, the subjects' shares among its terms, null
     where the text has none of them.
     """
@@ -72,25 +74,27 @@ def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[floa
         words = _Words()
         known = shared.value if shared else {}
         k = len(next(iter(known.values()), [0.0])) - 1
+        log = [math.log1p(c) for c in range(1024)]
         for batch in batches:
-            terms, lf, q = [], [], []
-            for t in batch.column(1):
-                n: Counter = Counter()
-                for piece, c in Counter(own_text(t.as_py()).split()).items():
+            ends, terms, lf, q = [0], [], [], []
+            for t in batch.column(1).to_pylist():
+                n: dict[str, int] = {}
+                for piece, c in Counter(own_text(t).split()).items():
                     for w in words[piece]:
-                        n[w] += c
-                order = sorted(n)
-                logs = [math.log1p(n[w]) for w in order]
-                terms.append(order)
-                lf.append(logs)
+                        n[w] = n.get(w, 0) + c
+                logs = [log[c] if c < 1024 else math.log1p(c) for c in n.values()]
+                terms.extend(n)
+                lf.extend(logs)
+                ends.append(len(terms))
                 if shared:
-                    hits = [(known[w], x) for w, x in zip(order, logs) if w in known]
+                    hits = [(known[w], x) for w, x in zip(n, logs) if w in known]
                     total = sum(m[k] * x for m, x in hits)
                     q.append([sum(m[i] * x for m, x in hits) / total for i in range(k)] if total > 0 else None)
-            cols = [batch.column(0), pa.array(terms, pa.list_(pa.string())), pa.array(lf, pa.list_(pa.float64()))]
+            at = pa.array(ends, pa.int32())
+            cols = [batch.column(0), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(lf, pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(q, pa.list_(pa.float64()))] * bool(shared), names=[key, "terms", "lf", "q"][: len(cols) + bool(shared)])
 
-    return docs.where(strip(F.col(text)) != "").select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<double>" + ", q array<double>" * bool(shared))
+    return docs.where(strip(F.col(text)) != "").select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<float>" + ", q array<double>" * bool(shared))
 
 
 def clean_labels(labels: DataFrame, subjects: DataFrame, key: str, subject: str) -> DataFrame:
@@ -176,7 +180,7 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
     flat = written(term_counts(docs, key, text, first), "terms")
     known = flat.where(F.col("q").isNotNull())
     own = known.select("terms", "lf", _sharpened(F.col("q")).alias("shares"))
-    held = known.join(seeds, key)  # of seeds, what clamping adds to their own estimates
+    held = known.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds, key)  # of seeds, what clamping adds to their own estimates
     held = held.select("terms", "lf", F.zip_with(_clamped(F.col("q"), F.col("y")), _sharpened(F.col("q")), lambda a, b: a - b).alias("shares"))
     both = own.unionByName(held)
     model = written(_term_model(_sums(both, names), names, _base(both, names)), "model")
