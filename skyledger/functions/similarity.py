@@ -12,28 +12,38 @@ def _chars(s: Column) -> Column:
 
 def jaro(a: Column, b: Column) -> Column:
     """Jaro similarity of two texts by code points; 0 where either is empty, null where either is null."""
-    x, y = _chars(a), _chars(b)
-    window = F.greatest(F.floor(F.greatest(F.size(x), F.size(y)) / 2).cast("int") - 1, F.lit(0))
-    start = F.named_struct(F.lit("used"), F.array().cast("array<int>"), F.lit("mine"), F.array().cast("array<string>"), F.lit("i"), F.lit(1))
-
-    def step(acc: Column, c: Column) -> Column:
-        lo, hi = F.greatest(acc["i"] - window, F.lit(1)), F.least(acc["i"] + window, F.size(y))
-        free = F.when(lo <= hi, F.filter(F.sequence(lo, F.greatest(lo, hi)), lambda j: (F.element_at(y, j) == c) & ~F.array_contains(acc["used"], j))).otherwise(F.array().cast("array<int>"))
-        hit = F.try_element_at(free, F.lit(1))
-        return F.named_struct(
-            F.lit("used"), F.when(hit.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], hit)),
-            F.lit("mine"), F.when(hit.isNull(), acc["mine"]).otherwise(F.array_append(acc["mine"], c)),
-            F.lit("i"), acc["i"] + 1,
-        )
-
-    def finish(acc: Column) -> Column:
-        theirs = F.transform(F.array_sort(acc["used"]), lambda j: F.element_at(y, j))
-        m = F.size(acc["mine"]).cast("double")
-        t = F.floor(F.size(F.filter(F.arrays_zip(acc["mine"].alias("p"), theirs.alias("q")), lambda z: z["p"] != z["q"])) / 2)
-        return F.when(m == 0, F.lit(0.0)).otherwise((m / F.size(x) + m / F.size(y) + (m - t) / m) / 3)
+    empty = F.array().cast("array<int>")
 
+    def both(z: Column) -> Column:
+        # z binds the letters once; inside a lambda they would be split again for every letter.
+        x, y = z["x"], z["y"]
+        window = z["w"]
+
+        def step(acc: Column, c: Column) -> Column:
+            lo, hi = F.greatest(acc["i"] - window, F.lit(1)), F.least(acc["i"] + window, F.size(y))
+            free = F.when(lo <= hi, F.filter(F.sequence(lo, F.greatest(lo, hi)), lambda j: (F.element_at(y, j) == c) & ~F.array_contains(acc["used"], j))).otherwise(empty)
+            return F.transform(
+                F.array(F.try_element_at(free, F.lit(1))),
+                lambda hit: F.named_struct(
+                    F.lit("used"), F.when(hit.isNull(), acc["used"]).otherwise(F.array_append(acc["used"], hit)),
+                    F.lit("mine"), F.when(hit.isNull(), acc["mine"]).otherwise(F.array_append(acc["mine"], c)),
+                    F.lit("i"), acc["i"] + 1,
+                ),
+            )[0]
+
+        def finish(acc: Column) -> Column:
+            theirs = F.transform(F.array_sort(acc["used"]), lambda j: F.element_at(y, j))
+            m = F.size(acc["mine"]).cast("double")
+            t = F.floor(F.size(F.filter(F.zip_with(acc["mine"], theirs, lambda p, q: p != q), lambda d: d)) / 2)
+            return F.when(m == 0, F.lit(0.0)).otherwise((m / F.size(x) + m / F.size(y) + (m - t) / m) / 3)
+
+        start = F.named_struct(F.lit("used"), empty, F.lit("mine"), F.array().cast("array<string>"), F.lit("i"), F.lit(1))
+        return F.aggregate(x, start, step, finish)
+
+    window = F.greatest(F.floor(F.greatest(F.length(a), F.length(b)) / 2).cast("int") - 1, F.lit(0))
+    bound = F.array(F.named_struct(F.lit("x"), _chars(a), F.lit("y"), _chars(b), F.lit("w"), window))
     none = (F.length(a) == 0) | (F.length(b) == 0)
-    return F.when(a.isNull() | b.isNull(), None).when(none, F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(F.aggregate(x, start, step, finish))
+    return F.when(a.isNull() | b.isNull(), None).when(none, F.lit(0.0)).when(a == b, F.lit(1.0)).otherwise(F.transform(bound, both)[0])
 
 
 def boost(j: Column, a: Column, b: Column) -> Column:
@@ -47,7 +57,7 @@ def boost(j: Column, a: Column, b: Column) -> Column:
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return boost(jaro(a, b), a, b)
+    return F.transform(F.array(jaro(a, b)), lambda j: boost(j, a, b))[0]
 
 
 def one_typo(a: Column, b: Column) -> Column:

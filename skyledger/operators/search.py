@@ -12,7 +12,11 @@ def words(c: Column) -> Column:
 
 def postings(rows: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     """(term, key, attribute, pos): attribute is the rank of the searchable column, pos the place of the word."""
-    parts = [F.transform(words(F.col(a)), lambda w, p, r=r: F.struct(w.alias("term"), F.lit(r).alias("attribute"), p.cast("int").alias("pos"))) for r, a in enumerate(attributes)]
+
+    def placed(attribute: str, rank: int) -> Column:
+        return F.transform(words(F.col(attribute)), lambda w, p: F.named_struct(F.lit("term"), w, F.lit("attribute"), F.lit(rank), F.lit("pos"), p.cast("int")))
+
+    parts = [placed(a, r) for r, a in enumerate(attributes)]
     return rows.select(key, F.inline(F.concat(*parts)))
 
 
