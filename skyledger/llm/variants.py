@@ -31,9 +31,10 @@ def parsed(names: DataFrame) -> DataFrame:
     return names.select("name").mapInPandas(work, "name string, kind string, core string, rest string, middle string, code string")
 
 
-def _similar(a: Column, b: Column) -> Column:
-    """Equal, or one typo apart and similar; only pairs one typo apart are compared by Jaro-Winkler."""
-    return F.when(a == b, True).when((F.length(a) >= 5) & (F.length(b) >= 5) & one_typo(a, b), jaro_winkler(a, b) >= SIMILAR).otherwise(False)
+def _near(a: Column, b: Column) -> Column:
+    """Equal, or of five letters at least and one typo apart; only such pairs are then compared by Jaro-Winkler."""
+    close = F.abs(F.length(a) - F.length(b)) <= 1
+    return (a == b) | (close & (F.length(a) >= 5) & (F.length(b) >= 5) & one_typo(a, b))
 
 
 def _ends(core: Column, n: int) -> tuple[Column, Column]:
@@ -52,13 +53,13 @@ def _typo_edges(nodes: DataFrame) -> DataFrame:
     blocks = nodes.where(F.col("core") != "").select("node", "kind", "core", "rest", "middle", F.explode(F.array(F.concat_ws("|", F.lit("c"), "code", rest), F.concat_ws("|", F.lit("h"), head, rest), F.concat_ws("|", F.lit("t"), tail, rest))).alias("block"))
     left = blocks.select("block", F.col("node").alias("a"), F.col("core").alias("core_a"))
     right = blocks.select("block", F.col("node").alias("b"), F.col("core").alias("core_b"))
-    near = left.join(right, "block").where((F.col("a") < F.col("b")) & one_typo(F.col("core_a"), F.col("core_b"))).select("a", "b", "core_a", "core_b").distinct()
-    same = near.where(_similar(F.col("core_a"), F.col("core_b"))).select("a", "b")
+    near = left.join(right, "block").where((F.col("a") < F.col("b")) & _near(F.col("core_a"), F.col("core_b"))).select("a", "b", "core_a", "core_b").distinct()
+    same = near.where((F.col("core_a") == F.col("core_b")) | (jaro_winkler(F.col("core_a"), F.col("core_b")) >= SIMILAR)).select("a", "b")
     p = nodes.where((F.col("kind") == "P") & (F.length("rest") > 1)).select("node", "core", "middle", "rest")
     given = (
         p.select(F.col("node").alias("a"), "core", "middle", F.col("rest").alias("rest_a")).join(p.select(F.col("node").alias("b"), "core", "middle", F.col("rest").alias("rest_b")), ["core", "middle"])
-        .where((F.col("a") < F.col("b")) & one_typo(F.col("rest_a"), F.col("rest_b")))
-        .where(_similar(F.col("rest_a"), F.col("rest_b"))).select("a", "b")
+        .where((F.col("a") < F.col("b")) & _near(F.col("rest_a"), F.col("rest_b")))
+        .where(jaro_winkler(F.col("rest_a"), F.col("rest_b")) >= SIMILAR).select("a", "b")
     )
     return same.unionByName(given)
 
@@ -88,8 +89,8 @@ def _short_edges(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     keys = F.explode(F.array(F.concat(F.lit("="), "core"), F.concat(F.lit("h"), head), F.concat(F.lit("t"), tail))).alias("block")
     s = n.where(_short(F.col("kind"), F.col("rest"), F.col("middle"))).select("kind", keys, F.col("node").alias("a"), F.col("core").alias("core_s"), F.col("rest").alias("rest_s"), F.col("middle").alias("middle_s"), F.col("comp").alias("comp_s"))
     f = n.where(F.col("rest") != "").select("kind", keys, F.col("core").alias("core_f"), F.col("rest").alias("rest_f"), F.col("middle").alias("middle_f"), F.col("comp").alias("comp_f"))
-    hits = s.join(f, ["kind", "block"]).where((F.col("comp_s") != F.col("comp_f")) & _stands_for() & ((F.col("core_s") == F.col("core_f")) | one_typo(F.col("core_s"), F.col("core_f"))))
-    hits = hits.where(_similar(F.col("core_s"), F.col("core_f")))
+    hits = s.join(f, ["kind", "block"]).where((F.col("comp_s") != F.col("comp_f")) & _stands_for() & _near(F.col("core_s"), F.col("core_f")))
+    hits = hits.where((F.col("core_s") == F.col("core_f")) | (jaro_winkler(F.col("core_s"), F.col("core_f")) >= SIMILAR))
     best = hits.groupBy("a", "comp_s").agg(F.min(F.struct((F.col("core_s") != F.col("core_f")).alias("off"), "comp_f")).alias("lo"), F.collect_set(F.when(F.col("core_s") == F.col("core_f"), F.col("comp_f"))).alias("same"), F.collect_set("comp_f").alias("any"))
     one = F.when(~F.col("lo.off"), F.size("same") == 1).otherwise(F.size("any") == 1)
     return best.where(one).select(F.col("comp_s").alias("a"), F.col("lo.comp_f").alias("b"))
