@@ -19,6 +19,8 @@ DELIMITERS = (r"\r\n", r"\t", ";；", ",，、", "|", "¦", "•·", SLASH)
 TOKEN_SHARE = 0.002
 #: Bits that a delimiter and a way of quoting cost to name.
 DIALECT_BITS = 2.0
+#: Bits of a transition after a class that was never seen, at a value's ends and inside it.
+ENDS_BITS, UNKNOWN_BITS = 6.0, 16.0
 #: Weight of the classes' own frequencies in the smoothed transitions.
 PRIOR = 0.02
 
@@ -97,7 +99,9 @@ def _classes(v: Column, vocabulary: Column) -> Column:
 
 
 def _pairs(classes: Column) -> Column:
-    return F.transform(F.sequence(F.lit(2), F.size(classes)), lambda i: F.named_struct(F.lit("prev"), F.element_at(classes, i - 1), F.lit("cur"), F.element_at(classes, i)))
+    """Neighbours (prev, cur); by slices, since a lambda would work the classes out anew for each of them."""
+    n = F.size(classes) - 1
+    return F.zip_with(F.slice(classes, F.lit(1), n), F.slice(classes, F.lit(2), n), lambda p, c: F.named_struct(F.lit("prev"), p, F.lit("cur"), c))
 
 
 def _vocabulary(explicit: DataFrame) -> Column:
@@ -152,7 +156,9 @@ def split_packed(rows: DataFrame, key: str, field: str, out: str = "value") -> D
     """
     fields = rows.where(F.col(field).isNotNull()).select(F.col(field).alias("_f")).where(strip(F.col("_f")) != "").distinct()
     fields = fields.withColumn("_e", explicit_values(F.col("_f")))
-    explicit = fields.where(F.col("_e").isNotNull()).select(F.explode("_e").alias("value")).distinct()
+    # A field without any delimiter is a value, too.
+    alone = F.col("_e").isNull() & ~F.col("_f").rlike("[" + "".join(DELIMITERS) + "/\"]")
+    explicit = fields.select(F.explode(F.when(F.col("_e").isNotNull(), F.col("_e")).when(alone, F.array(strip(F.col("_f"))))).alias("value")).distinct()
     vocabulary = _vocabulary(explicit)
     pairs, rare = _transitions(explicit, vocabulary)
     plain = fields.where(F.col("_e").isNull()).select("_f", F.regexp_replace("_f", rf"(?:(?<=[{BLANKS}])|^)/(?=[{BLANKS}]|$)|(?<=[{BLANKS}])/(?=\S)|(?<=\S)/(?=[{BLANKS}]|$)", SLASH).alias("_s"))
@@ -167,7 +173,7 @@ def split_packed(rows: DataFrame, key: str, field: str, out: str = "value") -> D
         .select("_f", "_d", F.inline(_pairs(_classes(F.col("_x"), vocabulary))))
         .groupBy("_f", "_d", "prev", "cur").agg(F.count("*").alias("n"))
         .join(pairs, ["prev", "cur"], "left").join(rare, "prev", "left")
-        .groupBy("_f", "_d").agg(F.sum(F.col("n") * F.coalesce("bits", "unseen", F.lit(16.0))).alias("_bits"))
+        .groupBy("_f", "_d").agg(F.sum(F.col("n") * F.coalesce("bits", "unseen", F.when((F.col("prev") == "<s>") | (F.col("cur") == "</s>"), ENDS_BITS).otherwise(UNKNOWN_BITS))).alias("_bits"))
     )
     cost = F.coalesce(F.col("_bits"), F.lit(0.0)) + DIALECT_BITS * (F.size("_d.delimiters") + (~F.col("_d.quotes")).cast("int"))
     best = parsed.join(bits, ["_f", "_d"], "left").groupBy("_f").agg(F.min_by("_v", F.struct(F.round(cost, 6), -F.size("_v"), F.col("_d").cast("string"))).alias("_v"))
