@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from skyledger.functions.scalars import preferred, token_prefixes
-from skyledger.functions.similarity import boost, jaro
+from skyledger.functions.similarity import jaro_winkler
 from skyledger.operators.snapshots import latest_rows
-from skyledger.operators.validate import broken, first_writer, operator_rules, present
+from skyledger.operators.validate import broken, operator_rules, present
 
 #: Least similarity of names by whether the longer code takes part.
 WITH_CODE, WITHOUT_CODE = 0.5, 0.75
@@ -21,46 +21,41 @@ def _lowest(df: DataFrame, key: str, item: str) -> DataFrame:
 
 def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l_id, r_id) of equal longer code and name, or, where the left has no longer code, shorter code and name; lowest right id."""
-    r = right.select(F.col("id").alias("r_id"), "icao_code", "iata_code", "name")
-    li = left.where(F.col("icao_code").isNotNull()).select(F.col("id").alias("l_id"), "icao_code", "name")
-    la = left.where(F.col("icao_code").isNull()).select(F.col("id").alias("l_id"), "iata_code", "name")
-    hits = li.join(r, ["icao_code", "name"]).select("l_id", "r_id").unionByName(la.join(r, ["iata_code", "name"]).select("l_id", "r_id"))
-    return _lowest(hits, "l_id", "r_id")
+    by = lambda kind, code: F.when(F.col(code).isNotNull() & F.col("name").isNotNull(), F.struct(F.lit(kind).alias("k"), F.col(code).alias("c"), F.col("name").alias("n")))
+    one = F.when(F.col("icao_code").isNotNull(), by("i", "icao_code")).otherwise(by("a", "iata_code"))
+    l = left.select(F.col("id").alias("l_id"), one.alias("_key")).where(F.col("_key").isNotNull())  # noqa: E741
+    r = right.select(F.col("id").alias("r_id"), F.explode(F.array_compact(F.array(by("i", "icao_code"), by("a", "iata_code")))).alias("_key"))
+    return _lowest(l.join(r, "_key").select("l_id", "r_id"), "l_id", "r_id")
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, alt: str | None = None) -> DataFrame:
-    """(l_id, r_id, confidence): best candidate that shares every code the left states, by three equi-joins.
+    """(l_id, r_id, confidence): best candidate that shares every code the left states, by one equi-join on the codes stated.
 
     Confidence 1 where both codes are equal, null with null too; else the greatest Jaro-Winkler similarity of the left's
     name with the right's names, from WITH_CODE or WITHOUT_CODE; ties go to the lowest right id.
     """
     names = F.concat(F.array("name"), F.coalesce(F.col(alt), F.array().cast("array<string>"))) if alt else F.array("name")
-    r = right.select(F.col("id").alias("r_id"), F.col("icao_code").alias("r_icao"), F.col("iata_code").alias("r_iata"), names.alias("r_names"))
-    l = left.select(F.col("id").alias("l_id"), F.col("icao_code").alias("l_icao"), F.col("iata_code").alias("l_iata"), F.col("name").alias("l_name"))  # noqa: E741
-    i, a = F.col("l_icao"), F.col("l_iata")
-    both = l.where(i.isNotNull() & a.isNotNull()).join(r, (i == F.col("r_icao")) & (a == F.col("r_iata")))
-    icao = l.where(i.isNotNull() & a.isNull()).join(r, i == F.col("r_icao"))
-    iata = l.where(i.isNull() & a.isNotNull()).join(r, a == F.col("r_iata"))
-    cand = both.unionByName(icao).unionByName(iata)
-    equal = i.eqNullSafe(F.col("r_icao")) & a.eqNullSafe(F.col("r_iata"))
-    # Similarity is computed once per pair of names, and not at all where the codes decide.
-    pairs = cand.where(~equal).select("l_name", F.explode("r_names").alias("r_name")).where(F.col("r_name").isNotNull() & F.col("l_name").isNotNull()).distinct()
-    pairs = pairs.withColumn("_j", jaro(F.col("l_name"), F.col("r_name"))).select("l_name", "r_name", boost(F.col("_j"), F.col("l_name"), F.col("r_name")).alias("jw"))
-    scored = (
-        cand.where(~equal).select("l_id", "r_id", "l_icao", "l_name", F.explode("r_names").alias("r_name")).join(pairs, ["l_name", "r_name"])
-        .groupBy("l_id", "r_id").agg(F.max("jw").alias("confidence"), F.first("l_icao").alias("l_icao"))
-        .unionByName(cand.where(equal).select("l_id", "r_id", F.lit(1.0).alias("confidence"), "l_icao"))
-    )
+    i, a = F.col("icao_code"), F.col("iata_code")
+    none = F.lit(None).cast("string")
+    key = lambda x, y: F.struct(x.alias("i"), y.alias("a"))
+    coded = i.isNotNull() | a.isNotNull()
+    l = left.where(coded).select(F.col("id").alias("l_id"), i.alias("l_icao"), a.alias("l_iata"), F.col("name").alias("l_name"), F.to_json(key(i, a)).alias("_key"))  # noqa: E741
+    forms = F.array_distinct(F.array(F.to_json(key(i, a)), F.to_json(key(i, none)), F.to_json(key(none, a))))
+    r = right.where(coded).select(F.col("id").alias("r_id"), i.alias("r_icao"), a.alias("r_iata"), names.alias("r_names"), F.explode(forms).alias("_key"))
+    cand = l.join(r, "_key")
+    equal = F.col("l_icao").eqNullSafe(F.col("r_icao")) & F.col("l_iata").eqNullSafe(F.col("r_iata"))
+    best_name = F.array_max(F.transform("r_names", lambda n: jaro_winkler(F.col("l_name"), n)))
+    scored = cand.select("l_id", "r_id", "l_icao", F.when(equal, F.lit(1.0)).otherwise(best_name).alias("confidence"))
     least = F.when(F.coalesce(F.trim("l_icao"), F.lit("")) != "", WITH_CODE).otherwise(WITHOUT_CODE)
     best = scored.where(F.col("confidence") >= least)
     return best.groupBy("l_id").agg(F.max(F.struct("confidence", (-F.col("r_id")).alias("_m"))).alias("_b")).select("l_id", (-F.col("_b._m")).alias("r_id"), F.col("_b.confidence").alias("confidence"))
 
 
-def combine(left: DataFrame, right: DataFrame, alt: str | None = None, literal: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) union of matched rows, rows of the left alone and rows of the right alone.
+def combine_rows(left: DataFrame, right: DataFrame, alt: str | None = None, literal: bool = False) -> DataFrame:
+    """Union of matched rows, rows of the left alone and rows of the right alone, with the rules that each breaks.
 
-    Each row has phase (1: from the left, 2: right alone) and src (its id there); the rules run before the longer code's
-    first writer is found, so a rejected row blocks none.
+    Each row has phase (1: from the left, 2: right alone) and src (its id there); the longer code's first writer is found
+    among the rows that break no rule, so a rejected row blocks none.
     """
     exact = exact_matches(left, right)
     rest = left.join(exact.select(F.col("l_id").alias("id")), "id", "left_anti")
@@ -69,12 +64,20 @@ def combine(left: DataFrame, right: DataFrame, alt: str | None = None, literal:
     r = right.select(F.col("id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in ("name", "icao_code", "iata_code")])
     from_left = l.join(matched, "l_id", "left").join(r, "r_id", "left")
     first = from_left.select(F.lit(1).alias("phase"), F.col("l_id").alias("src"), *[preferred(F.col(f"l_{c}"), F.col(f"r_{c}"), literal).alias(c) for c in ("name", "icao_code", "iata_code")])
-    second = right.join(matched.select(F.col("r_id").alias("id")).distinct(), "id", "left_anti").select(F.lit(2).alias("phase"), F.col("id").alias("src"), "name", "icao_code", "iata_code")
+    second = right.join(matched.select(F.col("r_id").alias("id")), "id", "left_anti").select(F.lit(2).alias("phase"), F.col("id").alias("src"), "name", "icao_code", "iata_code")
     rows = first.unionByName(second).withColumn("errors", broken(operator_rules()))
-    ok = rows.where(F.size("errors") == 0).withColumn("_first", first_writer(rows, "icao_code", ["phase", "src"]))
-    accepted = ok.where("_first").drop("_first", "errors")
-    rejected = rows.where(F.size("errors") > 0).unionByName(ok.where(~F.col("_first")).withColumn("errors", F.array(F.lit("icao_code taken"))).drop("_first"))
-    return accepted, rejected
+    competes = F.when((F.size("errors") == 0) & present("icao_code"), F.lower("icao_code"))
+    rn = F.row_number().over(W.partitionBy(competes).orderBy("phase", "src"))
+    # Rows that don't compete stand side by side under their own keys, not in one group.
+    lone = rows.where(competes.isNull())
+    ranked = rows.where(competes.isNotNull()).withColumn("errors", F.when(rn > 1, F.array(F.lit("icao_code taken"))).otherwise(F.col("errors")))
+    return ranked.unionByName(lone)
+
+
+def combine(left: DataFrame, right: DataFrame, alt: str | None = None, literal: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of combine_rows."""
+    rows = combine_rows(left, right, alt, literal)
+    return rows.where(F.size("errors") == 0).drop("errors"), rows.where(F.size("errors") > 0)
 
 
 #: Dimension tables of at most so many rows are looked through text by text; they are counted first.

@@ -240,9 +240,8 @@ k AS (SELECT *, icao_code IS NULL OR row_number() OVER (PARTITION BY lower(icao_
 @query(_MERGE + "SELECT phase, src, name, icao_code, iata_code, CASE WHEN first_one THEN '' ELSE 'icao_code taken' END AS errors FROM k UNION ALL SELECT phase, src, name, icao_code, iata_code, errors FROM e WHERE errors <> ''")
 def entity_resolve_merge(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship merge of two sources: exact, fuzzy and left-over rows with the rules' verdict."""
-    ok, bad = resolve.combine(_side(spark, sf, "VRSDataOperatorSource"), _side(spark, sf, "OpenTravelOperatorSource"))
-    cols = ["phase", "src", "name", "icao_code", "iata_code"]
-    return ok.select(*cols, F.lit("").alias("errors")).unionByName(bad.select(*cols, F.array_join("errors", ", ").alias("errors")))
+    rows = resolve.combine_rows(_side(spark, sf, "VRSDataOperatorSource"), _side(spark, sf, "OpenTravelOperatorSource"))
+    return rows.select("phase", "src", "name", "icao_code", "iata_code", F.array_join("errors", ", ").alias("errors"))
 
 
 @query(_MERGE + "SELECT l_id, r_id FROM x")
