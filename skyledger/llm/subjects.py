@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyledger.functions.text import strip
+from skyledger.functions.text import BLANKS, strip
 from skyledger.llm.shared import written
 
 #: Labelled documents that the first term weights are fitted on, at most; any more are chosen by hash. All labels clamp.
@@ -94,7 +94,7 @@ def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[floa
             cols = [batch.column(0), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(lf, pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(q, pa.list_(pa.float64()))] * bool(shared), names=[key, "terms", "lf", "q"][: len(cols) + bool(shared)])
 
-    return docs.where(strip(F.col(text)) != "").select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<float>" + ", q array<double>" * bool(shared))
+    return docs.where(F.col(text).rlike(rf"[^{BLANKS}]")).select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<float>" + ", q array<double>" * bool(shared))
 
 
 def clean_labels(labels: DataFrame, subjects: DataFrame, key: str, subject: str) -> DataFrame:
@@ -173,7 +173,8 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
 
     # First weights, from a bounded sample of labelled documents, so the driver holds a bounded model.
     sample = seeds.orderBy(F.xxhash64(key), key).limit(FIT_ON)
-    fit = written(term_counts(docs.join(sample, key, "left_semi"), key, text).join(sample.withColumnRenamed("y", "shares"), key), "fit")
+    # Its keys are broadcast: FIT_ON rows at most.
+    fit = written(term_counts(docs.join(F.broadcast(sample.select(key)), key, "left_semi"), key, text).join(sample.withColumnRenamed("y", "shares"), key), "fit")
     first = {r["term"]: [*r["g"], r["w"]] for r in _term_model(_sums(fit, names), names, _base(fit, names)).collect()}
 
     # First estimates of all documents as their terms are counted; all terms then learn from all documents.
