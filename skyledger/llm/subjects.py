@@ -2,7 +2,7 @@
 
 Two documents are linked by every term that both hold, with the term's weight times its frequency in each; the links are
 kept factored as a graph of documents and terms, which holds exactly the same similarities without listing pairs. A link
-counts only through terms that are verified to tell subjects apart (MIN_BITS), so general vocabulary links nothing.
+counts only through terms that are verified to tell subjects apart (MIN_GAIN), so general vocabulary links nothing.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from skyledger.llm.shared import written
 
 #: Labelled documents that the first term weights are fitted on, at most; any more are chosen by hash. All labels clamp.
 FIT_ON = 50_000
-#: Terms count from this divergence (in nats) of their subjects from the corpus's subjects.
-MIN_BITS = 0.5
+#: Terms count from this part of what knowing a document's subject tells (the entropy of the subjects in the corpus).
+MIN_GAIN = 0.22
 #: Rounds of propagation after the first estimate.
 ROUNDS = 2
 #: Term tables of at most so many rows are broadcast.
@@ -114,10 +114,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 def _term_model(sums: DataFrame, names: list[str], base: list[float]) -> DataFrame:
     """(term, g array<double>, w): a verified term's shares of the subjects times its weight, and the weight."""
+    least = MIN_GAIN * -sum(b * math.log(b) for b in base)
     n = sum((F.col(f"s{i}") for i in range(len(names))), F.lit(0.0))
     p = [(F.col(f"s{i}") + F.lit(PRIOR * b)) / (n + PRIOR) for i, b in enumerate(base)]
     w = sum((q * F.log(q / F.lit(b)) for q, b in zip(p, base)), F.lit(0.0))
-    return sums.select("term", F.array(*p).alias("_p"), w.alias("w")).where(F.col("w") >= MIN_BITS).select("term", F.transform("_p", lambda x: x * F.col("w")).alias("g"), "w")
+    return sums.select("term", F.array(*p).alias("_p"), w.alias("w")).where(F.col("w") >= least).select("term", F.transform("_p", lambda x: x * F.col("w")).alias("g"), "w")
 
 
 def _links(rows: DataFrame, keep: list[str]) -> DataFrame:

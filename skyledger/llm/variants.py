@@ -108,12 +108,16 @@ def name_entities(names: DataFrame) -> DataFrame:
     # A firm without any coined word is known by its description alone.
     all_parsed = written(parsed(distinct).withColumn("node", node), "names")
     nodes = written(all_parsed.groupBy("node").agg(*[F.first(c).alias(c) for c in ("kind", "core", "rest", "middle", "code")]), "nodes")
-    typo = connected_components(_typo_edges(nodes))
-    more = written(_short_edges(nodes, typo.withColumnRenamed("component", "component")), "short")
-    joined = connected_components(more)
-    comp = nodes.select("node").join(typo, "node", "left").select("node", F.coalesce("component", "node").alias("_c"))
-    comp = comp.join(joined.select(F.col("node").alias("_c"), F.col("component").alias("_j")), "_c", "left").select("node", F.coalesce("_j", "_c").alias("entity"))
-    return all_parsed.select("name", "node").join(comp, "node").select("name", "entity")
+    comp = _all_nodes(nodes, connected_components(_typo_edges(nodes)))
+    for _ in range(2):  # what joined first may leave one entity where there were two to choose from
+        joined = connected_components(written(_short_edges(nodes, comp), "short"))
+        comp = written(comp.join(joined.select(F.col("node").alias("component"), F.col("component").alias("_j")), "component", "left").select("node", F.coalesce("_j", "component").alias("component")), "comps")
+    return all_parsed.select("name", "node").join(comp, "node").select("name", F.col("component").alias("entity"))
+
+
+def _all_nodes(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Component of every node, its own where it has no edge."""
+    return nodes.select("node").join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def name_pairs(entities: DataFrame) -> DataFrame:
