@@ -17,12 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folder of the tokenizer files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 #: Texts are handled in pieces of about so many bytes, which bounds a worker's memory (a longer text is its own piece).
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 10 << 20
 #: A worker forgets its words when it knows more than this; they are simply worked out again.
 WORDS_KEPT = 1_000_000
 
 #: White space of the tokenizer's word pattern, as RE2 class body.
 SPACE = r"\t\n\v\f\r\x{85}\p{Z}"
+#: Letters and digits of Unicode 16 that RE2's classes don't have yet.
+NEW_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 "
+    "113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0 2EBF0-2EE5D"
+)
+NEW_DIGITS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+
+
+def _class(name: str, ranges: str) -> str:
+    return rf"\p{{{name}}}" + "".join("\\x{{{}}}-\\x{{{}}}".format(*r.split("-")) for r in ranges.split())
+
+
+LETTER, DIGIT = _class("L", NEW_LETTERS), _class("N", NEW_DIGITS)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -108,7 +121,7 @@ class Encoder:
         # A character that none of these texts has marks where white space is divided; the search always ends.
         mark = next(c for c in map(chr, (*range(0xFDD0, 0xFDF0), *range(0xE000, 0xF900), *range(0x100000, 0x10FFFE))) if c not in blob)
         code = f"\\x{{{ord(mark):x}}}"
-        words = rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}{code}]+|[{SPACE}]+"
+        words = rf"'(?:[sdmt]|ll|ve|re)| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{SPACE}{LETTER}{DIGIT}{code}]+|[{SPACE}]+"
         self.con.register("_texts", pa.table({"doc": pa.array(range(len(texts)), pa.int32()), "t": texts}))
         # Of white space before a word the last character goes with the word, or stands alone.
         marked = f"CASE WHEN regexp_matches(t, '[{SPACE}][{SPACE}][^{SPACE}]') THEN regexp_replace(t, '([{SPACE}])([{SPACE}][^{SPACE}])', '\\1{mark}\\2', 'g') ELSE t END"

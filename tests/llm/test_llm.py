@@ -16,7 +16,7 @@ T = datetime
 
 TEXTS = [
     "A plain text, isn't it?  Two  blanks\n\n\nand 12345 digits.", None, "", " ", "\t\t x\r\n\r\ny", "<|endoftext|> is text", "aaaa" * 700, "é ü  z 漢字仮名 العربية", "🙂🙂 👨‍👩‍👧 x",
-    "'ll 's'S 're don't", "﷐﷑ odd", " ", "x" * 3 + " " * 40 + "y", "I   'm   here  .", "ab" * 4000, "\x1c\x1d a\x85b",
+    "'ll 's'S 're don't", "﷐﷑ odd", " ", "x" * 3 + " " * 40 + "y", "I   'm   here  .", "ab" * 4000, "\x1c\x1d a\x85b", "a\u1c89b \U0002ebf0c \U00010d40\U00010d411 \ua7cbx",
 ]
 
 
