@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -103,3 +105,31 @@ def delivered_history(lines: DataFrame) -> DataFrame:
     late = F.coalesce(F.to_date("delivered_at") >= F.lit(day), F.lit(False))
     raw, updates = lines.where(~late), lines.where(late)
     return apply_updates(airline_history(raw), raw, updates, is_entity=F.col("pk").startswith("air-"))
+
+
+def publish(history: DataFrame, folder: str) -> str:
+    """Writes the history as a new version under ``folder`` and then makes it the current one, by renaming a pointer file.
+
+    Readers see the old chains or the new ones, never some of each; a writer that is lost before the rename changes nothing.
+    Returns the version's path.
+    """
+    jvm = history.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(history.sparkSession._jsc.hadoopConfiguration())
+    version = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    history.write.parquet(version)
+    pointer, fresh = path(f"{folder}/CURRENT"), path(f"{version}.pointer")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), history.sparkSession._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = history.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = rename
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(pointer), options)
+    return version
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The history that was published last."""
+    return spark.read.parquet(spark.read.text(f"{folder.rstrip('/')}/CURRENT").head()[0])

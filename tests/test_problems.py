@@ -113,6 +113,29 @@ def test_long_chain_across_years(spark):
     assert len(got) == 20 and got[0] == ("air-z", "1900-07-01", "1903-06-30", "N0")
 
 
+def test_published_chains_are_swapped_whole(spark, tmp_path):
+    df = spark.createDataFrame(LINES, LINE)
+    late = F.to_date("delivered_at") >= "2023-01-03"
+    folder = f"file://{tmp_path}/h"
+    history.publish(history.airline_history(df.where(~late)), folder)
+    before = history.current(spark, folder)
+    history.publish(history.apply_updates(before, df.where(~late), df.where(late)), folder)
+    after = sorted((r.chain, str(r.valid_from or ""), str(r.valid_to or ""), r.name) for r in history.current(spark, folder).collect())
+    assert after == WANT and before.count() == len(WANT)
+
+
+def test_streamed_deliveries(spark, tmp_path):
+    from skyledger.streaming.deliveries import stream_deliveries
+
+    seen = []
+    df = spark.createDataFrame(LINES, LINE)
+    for part in (df.limit(3), df.where("line_id > 8")):
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        q = stream_deliveries(spark, str(tmp_path / "in"), LINE, str(tmp_path / "ck"), lambda b, i: seen.append((i, b.count())))
+        q.awaitTermination(60)
+    assert [n for _, n in seen] == [3, 4] and [i for i, _ in seen] == [0, 1]
+
+
 # Packed fields
 
 
