@@ -31,12 +31,24 @@ def _beside(df: DataFrame, what: dict[str, F.Column], order: list[str], step: in
     return out.select(*[c for c in df.columns if c != "_row"], *[F.col("_near")[n].alias(n) for n in what])
 
 
-def build_chains(versions: DataFrame, values: list[str]) -> DataFrame:
+#: A chain of at most so many versions is one window; where any is longer, all are cut at years.
+LONG_CHAIN = 100_000
+
+
+def _in_chain(df: DataFrame, what: dict[str, F.Column], order: list[str], step: int, long: bool) -> DataFrame:
+    if long:
+        return _beside(df, what, order, step)
+    w = W.partitionBy("chain").orderBy(*order)
+    return df.withColumns({n: (F.lead if step > 0 else F.lag)(c).over(w) for n, c in what.items()})
+
+
+def build_chains(versions: DataFrame, values: list[str], long: bool = True) -> DataFrame:
     """(chain, valid_from, valid_to, *values): periods of every chain, both ends inclusive, null where unknown or open.
 
     ``versions``: chain, version, pk, start, end (dates), values. An end before its start means that the two were
     exchanged; a version ends at the latest on the day before the next one starts; a version left without a day is
-    dropped; versions that follow without a gap with equal values (null-safe) form one period.
+    dropped; versions that follow without a gap with equal values (null-safe) form one period. ``long``: chains may be too
+    long for one window each; the periods are the same.
     """
     swap = F.col("end") < F.col("start")
     v = versions.select(
@@ -44,17 +56,20 @@ def build_chains(versions: DataFrame, values: list[str]) -> DataFrame:
         F.when(swap, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(swap, F.col("start")).otherwise(F.col("end")).alias("end"),
     ).withColumn("_ord", F.coalesce("start", F.lit("0001-01-01").cast("date"))).withColumn("_year", F.year("_ord"))
     order = ["_ord", "_ver", "pk"]
-    v = _beside(v, {"_next": F.col("start")}, order, +1)
+    v = _in_chain(v, {"_next": F.col("start")}, order, +1, long)
     v = v.withColumn("end", F.least(F.col("end"), F.date_sub("_next", 1))).drop("_next")
     v = v.where(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") <= F.col("end")))
     same = F.struct(*values)
-    v = _beside(v, {"_pend": F.col("end"), "_pval": same}, order, -1)
+    v = _in_chain(v, {"_pend": F.col("end"), "_pval": same}, order, -1, long)
     v = v.withColumn("_new", F.when(F.coalesce((F.date_add("_pend", 1) == F.col("start")) & F.col("_pval").eqNullSafe(same), F.lit(False)), 0).otherwise(1))
     # Running number of the period within the chain: inside a year, plus what earlier years began.
-    years = v.groupBy("chain", "_year").agg(F.sum("_new").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("chain").orderBy("_year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    v = v.withColumn("_run", F.sum("_new").over(W.partitionBy("chain", "_year").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    v = v.join(years.select("chain", "_year", before.alias("_before")), ["chain", "_year"])
+    if long:
+        years = v.groupBy("chain", "_year").agg(F.sum("_new").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(W.partitionBy("chain").orderBy("_year").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        v = v.withColumn("_run", F.sum("_new").over(W.partitionBy("chain", "_year").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+        v = v.join(years.select("chain", "_year", before.alias("_before")), ["chain", "_year"])
+    else:
+        v = v.withColumn("_run", F.sum("_new").over(W.partitionBy("chain").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).withColumn("_before", F.lit(0))
     last = F.struct("_ord", "_ver", "pk")
     return (
         v.groupBy("chain", (F.col("_run") + F.col("_before")).alias("_period"))
@@ -78,8 +93,11 @@ def airline_versions(lines: DataFrame) -> DataFrame:
     )
 
 
-def airline_history(lines: DataFrame) -> DataFrame:
-    return build_chains(airline_versions(lines), AIRLINE_VALUES)
+def airline_history(lines: DataFrame, long: bool | None = None) -> DataFrame:
+    """Periods of every airline; whether any has a long chain is counted unless said."""
+    if long is None:
+        long = (lines.groupBy("key").count().agg(F.max("count")).head()[0] or 0) > LONG_CHAIN
+    return build_chains(airline_versions(lines), AIRLINE_VALUES, long)
 
 
 def replace_chains(history: DataFrame, touched: DataFrame, rebuilt: DataFrame) -> DataFrame:
