@@ -47,7 +47,7 @@ def pairs_to_record(pairs: DataFrame, key: str, fields: list[Field]) -> DataFram
 
 
 AIRLINES_A = [
-    Field("Name", "name", lambda c: rules.fold(strip_ascii(c), ())), Field("ICAO", "icao_code", null_if_blank), Field("IATA", "iata_code", strip_ascii),
+    Field("Name", "name", lambda c: rules.fold(c, rules.OPERATOR_NAMES)), Field("ICAO", "icao_code", null_if_blank), Field("IATA", "iata_code", strip_ascii),
     Field("PositioningFlightPattern", "positioning_callsign_pattern", null_if_blank), Field("CharterFlightPattern", "charter_callsign_pattern", null_if_blank),
 ]
 AIRLINES_B = [

@@ -20,10 +20,6 @@ def postings(rows: DataFrame, key: str, attributes: list[str]) -> DataFrame:
     return rows.select(key, F.inline(F.concat(*parts)))
 
 
-def allowed_typos(n: Column) -> Column:
-    return F.when(n >= 9, 2).when(n >= 5, 1).otherwise(0)
-
-
 def search(index: DataFrame, key: str, query: str, limit: int | None = None) -> DataFrame:
     """(key, n_words, n_typos, best_attribute, exact), best first.
 

@@ -29,6 +29,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: What an aircraft's status numbers mean, from 0.
+STATUSES = ("active", "withdrawn", "hull_loss", "scrapped", "stored", "written_off")
+
+
 def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^[\\s\\x00]+|[\\s\\x00]+$', '', 'g')"
 
@@ -67,11 +71,11 @@ def first_load_expiry(spark: SparkSession, sf: str) -> DataFrame:
     return o.where(upsert.still_valid(any_date(F.col("validity_to")), F.lit("2005-01-01").cast("date"))).select("line_id", "pk")
 
 
-@query("""SELECT id, CASE WHEN status >= 0 AND status < 6 THEN ['active', 'inactive', 'stored', 'withdrawn', 'written_off', 'hull_loss'][status + 1] END AS status_name,
+@query("""SELECT id, CASE WHEN status >= 0 AND status < 6 THEN ['active', 'withdrawn', 'hull_loss', 'scrapped', 'stored', 'written_off'][status + 1] END AS status_name,
  'VH-' || regexp_replace(registration, '^VH-', '') AS prefixed FROM aircraft WHERE registration LIKE 'VH-%' OR status IS NULL OR status > 3""")
 def enum_decode(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "aircraft").where(F.col("registration").startswith("VH-") | F.col("status").isNull() | (F.col("status") > 3))
-    labels = ["active", "inactive", "stored", "withdrawn", "written_off", "hull_loss"]
+    labels = list(STATUSES)
     return a.select("id", scalars.decode(F.col("status"), labels).alias("status_name"), scalars.with_prefix(F.regexp_replace("registration", "^VH-", ""), "VH-").alias("prefixed"))
 
 
@@ -100,11 +104,11 @@ def regex_fold_models(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("id", "model", rules.fold(m, rules.MODEL_FAMILY).alias("family"), rules.fold(m, rules.MODEL_DISPLAY).alias("display"), rules.fold(m, rules.MODEL_ICAO).alias("icao_model"))
 
 
-@query(f"SELECT owner, {rules.fold_sql('owner', rules.OPERATORS)} AS operator_name, {rules.fold_sql('owner', rules.MANUFACTURERS)} AS maker_name FROM (SELECT DISTINCT owner FROM aircraft WHERE owner IS NOT NULL)")
+@query(f"SELECT owner, {rules.fold_sql('owner', rules.OPERATORS)} AS operator_name, {rules.fold_sql('owner', rules.MANUFACTURERS)} AS maker_name, {rules.fold_sql('owner', rules.OPERATOR_NAMES)} AS list_name FROM (SELECT DISTINCT owner FROM aircraft WHERE owner IS NOT NULL)")
 def regex_fold_names(spark: SparkSession, sf: str) -> DataFrame:
     """Folds over distinct texts, for they repeat."""
     o = table(spark, sf, "aircraft").where(F.col("owner").isNotNull()).select("owner").distinct()
-    return o.select("owner", rules.fold(F.col("owner"), rules.OPERATORS).alias("operator_name"), rules.fold(F.col("owner"), rules.MANUFACTURERS).alias("maker_name"))
+    return o.select("owner", rules.fold(F.col("owner"), rules.OPERATORS).alias("operator_name"), rules.fold(F.col("owner"), rules.MANUFACTURERS).alias("maker_name"), rules.fold(F.col("owner"), rules.OPERATOR_NAMES).alias("list_name"))
 
 
 _A36 = registrations.ALPHABET
@@ -430,8 +434,8 @@ def paginate(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT CAST(manufacturer_id AS INT) AS manufacturer_id, CAST(row_number() OVER (PARTITION BY manufacturer_id ORDER BY id) - 1 AS INT) AS pos, coalesce(trim(type_code), '') AS code, coalesce(trim(name), '') AS name FROM aircraft_types WHERE manufacturer_id IS NOT NULL")
 def html_table(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of one table each are built and read back."""
-    row = lambda c: F.concat(F.lit("<tr><td class='x'>"), F.coalesce("type_code", F.lit("")), F.lit("</td>\n<td> <b>"), F.coalesce("name", F.lit("")), F.lit("</b></td></tr>"))
-    pages = groups.collect_in_order(table(spark, sf, "aircraft_types").where(F.col("manufacturer_id").isNotNull()).withColumn("row", row(None)), "manufacturer_id", "id", "row", "rows")
+    row = F.concat(F.lit("<tr><td class='x'>"), F.coalesce("type_code", F.lit("")), F.lit("</td>\n<td> <b>"), F.coalesce("name", F.lit("")), F.lit("</b></td></tr>"))
+    pages = groups.collect_in_order(table(spark, sf, "aircraft_types").where(F.col("manufacturer_id").isNotNull()).withColumn("row", row), "manufacturer_id", "id", "row", "rows")
     html = F.concat(F.lit("<p><table><tr><th>Code</th><th>Name</th></tr>"), F.array_join("rows", "\n"), F.lit("</table><table><tr><td>no</td></tr></table>"))
     r = pages.select("manufacturer_id", F.posexplode(text_sources.table_rows(html)).alias("pos", "r"))
     return r.select("manufacturer_id", "pos", F.col("r")[0].alias("code"), F.col("r")[1].alias("name"))

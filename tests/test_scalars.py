@@ -62,6 +62,7 @@ def test_folds(spark):
     assert values(spark, ["Piper Aircraft Corp", "Textron Aviation Inc.", "the boeing company", "LEONARDO S.P.A. HELI"], model(rules.MANUFACTURERS)) == ["Piper", "Textron Aviation", "Boeing", "Leonardo"]
     assert values(spark, ["ACME PTY LTD", "QANTAS AIRWAYS LIMITED", "COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)", "CAPITEQ"], model(rules.OPERATORS)) == ["ACME", "Qantas", "Defence Australia", "Airnorth (Capiteq Pty Ltd)"]
     assert values(spark, ["COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)"], model(rules.OPERATORS_LITERAL)) == ["COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)"]
+    assert values(spark, ["Royal Flying Doctor Service (Qld)", "State Of New South Wales Represented By Nsw Police Force"], model(rules.OPERATOR_NAMES)) == ["Royal Flying Doctor Service", "NSW Police Force"]
     assert values(spark, ["A3200-232", "EMB-505", "DA 40"], model(rules.MODEL_DISPLAY)) == ["A3200-200", "EMB-500 Phenom 300", "DA40"]
 
 
