@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once an application, wherever the driver was started from."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not root.is_dir():
+        return
+    _shipped.add(app)
+    with_name = Path(tempfile.mkdtemp(prefix="package-")) / root.name
+    spark.sparkContext.addPyFile(shutil.make_archive(str(with_name), "zip", root.parent, root.name))
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``folder/name.parquet``, a file or a directory of files."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
