@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def versions(old: DataFrame, new: DataFrame, key: str, columns: list[str], item_type: str, actor: str | None = None) -> DataFrame:
@@ -21,5 +22,20 @@ def versions(old: DataFrame, new: DataFrame, key: str, columns: list[str], item_
     return j.select(F.lit(item_type).alias("item_type"), F.col(key).alias("item_id"), event.alias("event"), F.lit(actor).cast("string").alias("whodunnit"), F.to_json("_o").alias("object"), F.to_json(F.map_from_entries(changes)).alias("object_changes"), F.transform(changes, lambda e: e["key"]).alias("changed"))
 
 
+def snapshot_versions(rows: DataFrame, series: str, snapshot: str, key: str, columns: list[str], item_type: str, actor: str | None = None) -> DataFrame:
+    """(series, snapshot, and the columns of versions): each snapshot of each series against the one before it in the series.
+
+    ``rows`` hold one row per series, snapshot and key. A series' first snapshot has no predecessor and logs nothing.
+    """
+    w = W.partitionBy(series).orderBy(snapshot)
+    calendar = rows.select(series, snapshot).distinct().select(series, snapshot, F.lead(snapshot).over(w).alias("_next"), F.lag(snapshot).over(w).alias("_before"))
+    placed = rows.join(calendar, [series, snapshot])
+    at = lambda c: F.struct(F.col(series).alias("series"), F.col(c).alias("snapshot"), F.col(key).alias("key")).alias("_at")
+    old = placed.where(F.col("_next").isNotNull()).select(at("_next"), *columns)
+    new = placed.where(F.col("_before").isNotNull()).select(at(snapshot), *columns)
+    log = versions(old, new, "_at", columns, item_type, actor)
+    return log.select(F.col("item_id.series").alias(series), F.col("item_id.snapshot").alias(snapshot), *[F.col("item_id.key").alias("item_id") if c == "item_id" else c for c in log.columns])
+
+
 def item_history(log: DataFrame, item_type: str, item_id: int) -> DataFrame:
     return log.where((F.col("item_type") == item_type) & (F.col("item_id") == item_id))

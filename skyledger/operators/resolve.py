@@ -80,6 +80,27 @@ def combine(left: DataFrame, right: DataFrame, alt: str | None = None, literal:
     return rows.where(F.size("errors") == 0).drop("errors"), rows.where(F.size("errors") > 0)
 
 
+def combine_all(sides: list[DataFrame], literal: bool = False) -> DataFrame:
+    """combine_rows of any number of sources, one after another: the rows accepted so far are the left of the next source.
+
+    phase is the place (from 1) of the source that a row comes from and src its id there, unique over all sources; a row
+    that one step rejects stays rejected and takes no part in the next.
+    """
+    columns = ["name", "icao_code", "iata_code"]
+    origin = sides[0].select(F.col("id").alias("src"), F.lit(1).alias("phase"))
+    for k, side in enumerate(sides[1:], 2):
+        origin = origin.unionByName(side.select(F.col("id").alias("src"), F.lit(k).alias("phase")))
+    left, rows, rejected = sides[0], None, None
+    for right in sides[1:] or [sides[0].limit(0)]:
+        if rows is not None:
+            rows = rows.persist()  # the next step reads its left side at several places
+            out = rows.where(F.size("errors") > 0)
+            rejected = out if rejected is None else rejected.unionByName(out)
+            left = rows.where(F.size("errors") == 0).select(F.col("src").alias("id"), *columns)
+        rows = combine_rows(left, right, literal=literal).drop("phase")
+    return (rows if rejected is None else rows.unionByName(rejected)).join(origin, "src").select("phase", "src", *columns, "errors")
+
+
 #: Dimension tables of at most so many rows are looked through text by text; they are counted first.
 SMALL_DIMENSION = 10_000
 

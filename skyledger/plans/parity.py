@@ -447,3 +447,117 @@ def html_pairs(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "airports").select("id", F.concat(F.lit("<fieldset>"), div("Name", "name"), div("City", "city"), F.lit("</fieldset>")).alias("html"))
     pairs = text_sources.labelled_pairs(pages, "id", "html", ("row-header", "row-detail"))
     return fieldmap.pairs_to_record(pairs, "id", [fieldmap.Field("Name", "name"), fieldmap.Field("City", "city")])
+
+
+# The whole tables: every source type, the current row of each record over all months, names as they stand. The queries of
+# the same names without _all show single operators on one month of one or two types, as their SQL does; DuckDB compares
+# names by bytes, so what measures the likeness of whole names has no SQL.
+
+
+_REF_SQL = "trim((CASE WHEN json_type(CAST(data AS JSON)) = 'VARCHAR' THEN CAST(CAST(data AS JSON) ->> '$' AS JSON) ELSE CAST(data AS JSON) END) ->> '$.source_ref')"
+
+_CURRENT_SQL = f"""s AS (SELECT id, type, name, {_blank('icao_code')} AS icao_code, {_blank('iata_code')} AS iata_code FROM (SELECT *, {_REF_SQL} AS ref FROM operator_sources)
+ QUALIFY row_number() OVER (PARTITION BY type, CASE WHEN coalesce(ref, '') <> '' THEN 'r' || ref ELSE '#' || id END ORDER BY import_date DESC, id DESC) = 1),
+t AS (SELECT type, row_number() OVER (ORDER BY coalesce(max(trust), -1) DESC, type) AS rank FROM (SELECT DISTINCT type FROM operator_sources) LEFT JOIN source_types USING (type) GROUP BY type)"""
+
+
+def _current(spark: SparkSession, sf: str) -> DataFrame:
+    """The current row of each record (type and source_ref) over all months; a row without source_ref is a record of its own."""
+    s = table(spark, sf, "operator_sources").select("id", "type", "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
+    s = s.withColumn("record", F.when(F.coalesce("ref", F.lit("")) != "", F.concat(F.lit("r"), "ref")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))))
+    rows = latest_rows(s.drop("ref"), ["type", "record"], ["import_date", "id"])
+    return rows.select("id", "type", "name", scalars.null_if_blank(F.col("icao_code")).alias("icao_code"), scalars.null_if_blank(F.col("iata_code")).alias("iata_code"))
+
+
+def _sides(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+    """(type, its current rows), the most trusted type first; a type without known trust last."""
+    kinds = table(spark, sf, "operator_sources").select("type").distinct().join(table(spark, sf, "source_types"), "type", "left")
+    order = kinds.groupBy("type").agg(F.coalesce(F.max("trust"), F.lit(-1)).alias("trust")).orderBy(F.desc("trust"), "type").collect()  # a fixed list of types
+    rows = _current(spark, sf)
+    return [(r["type"], rows.where(F.col("type") == r["type"]).drop("type")) for r in order]
+
+
+def _of_pairs(spark: SparkSession, sf: str, f) -> DataFrame:
+    """f(left, right) of every two types, the more trusted one at the left, with both types."""
+    sides, out = _sides(spark, sf), None
+    for i, (a, left) in enumerate(sides):
+        for b, right in sides[i + 1 :]:
+            one = f(left, right).select(F.lit(a).alias("l_type"), F.lit(b).alias("r_type"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def entity_resolve_merge_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All sources merged, the most trusted first; phase is the place of the source that a row comes from."""
+    rows = resolve.combine_all([rows for _, rows in _sides(spark, sf)])
+    return rows.select("phase", "src", "name", "icao_code", "iata_code", F.array_join("errors", ", ").alias("errors"))
+
+
+@query(f"""WITH {_CURRENT_SQL}, r AS (SELECT s.*, rank FROM s JOIN t USING (type))
+SELECT l.type AS l_type, o.type AS r_type, l.id AS l_id, min(o.id) AS r_id FROM r l JOIN r o ON l.rank < o.rank AND o.name = l.name AND CASE WHEN l.icao_code IS NULL THEN o.iata_code = l.iata_code ELSE o.icao_code = l.icao_code END GROUP BY ALL""")
+def exact_match_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _of_pairs(spark, sf, resolve.exact_matches)
+
+
+@query()
+def jaro_winkler_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    v = _current(spark, sf).select("iata_code", F.col("name").alias("name_a")).where("name_a <> ''")
+    o = table(spark, sf, "operators").select("iata_code", F.col("name").alias("name_b")).where("name_b <> ''")
+    p = v.join(o, "iata_code").select("name_a", "name_b").distinct().withColumn("_j", jaro(F.col("name_a"), F.col("name_b")))
+    return p.select("name_a", "name_b", F.round(boost(F.col("_j"), F.col("name_a"), F.col("name_b")), 6).alias("similarity"))
+
+
+@query()
+def longest_prefix_join_all(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.longest_prefix(_current(spark, sf), "id", "name", table(spark, sf, "operators"))
+
+
+@query(f"""WITH {_CURRENT_SQL}, c AS (SELECT DISTINCT type, icao_code FROM s WHERE icao_code IS NOT NULL), p AS (SELECT l.type AS l_type, r.type AS r_type FROM t l JOIN t r ON l.rank < r.rank)
+SELECT l_type, r_type, icao_code, CASE WHEN count(*) = 2 THEN 'both' WHEN min(type) = l_type THEN 'left' ELSE 'right' END AS side FROM p JOIN c ON type IN (l_type, r_type) GROUP BY l_type, r_type, icao_code""")
+def code_sets_all(spark: SparkSession, sf: str) -> DataFrame:
+    def sets(left: DataFrame, right: DataFrame) -> DataFrame:
+        v, o = (d.where(F.col("icao_code").isNotNull()).select("icao_code").distinct() for d in (left, right))
+        both = v.withColumn("_v", F.lit(True)).join(o.withColumn("_o", F.lit(True)), "icao_code", "full")
+        return both.select("icao_code", F.when(F.col("_o").isNull(), "left").when(F.col("_v").isNull(), "right").otherwise("both").alias("side"))
+
+    return _of_pairs(spark, sf, sets)
+
+
+@query(f"""WITH m AS (SELECT type, month, ref, name, icao_code, iata_code FROM (SELECT *, {_REF_SQL} AS ref, strftime(import_date, '%Y-%m') AS month FROM operator_sources) WHERE ref <> '' AND month IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY type, month, ref ORDER BY import_date DESC, id DESC) = 1),
+c AS (SELECT type, month, lead(month) OVER (PARTITION BY type ORDER BY month) AS after, lag(month) OVER (PARTITION BY type ORDER BY month) AS before FROM (SELECT DISTINCT type, month FROM m)),
+o AS (SELECT m.type, after AS month, ref, name, icao_code, iata_code FROM m JOIN c USING (type, month) WHERE after IS NOT NULL), n AS (SELECT m.* FROM m JOIN c USING (type, month) WHERE before IS NOT NULL)
+SELECT coalesce(o.type, n.type) AS type, coalesce(o.month, n.month) AS snapshot, coalesce(o.ref, n.ref) AS item_id, CASE WHEN o.ref IS NULL THEN 'create' WHEN n.ref IS NULL THEN 'destroy' ELSE 'update' END AS event,
+ concat_ws(',', CASE WHEN o.name IS DISTINCT FROM n.name THEN 'name' END, CASE WHEN o.icao_code IS DISTINCT FROM n.icao_code THEN 'icao_code' END, CASE WHEN o.iata_code IS DISTINCT FROM n.iata_code THEN 'iata_code' END) AS changed
+ FROM o FULL JOIN n ON o.type = n.type AND o.month = n.month AND o.ref = n.ref WHERE o.ref IS NULL OR n.ref IS NULL OR o.name IS DISTINCT FROM n.name OR o.icao_code IS DISTINCT FROM n.icao_code OR o.iata_code IS DISTINCT FROM n.iata_code""")
+def history_diff_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Each month of each type against the type's month before; rows without source_ref can't be followed and are left out."""
+    s = table(spark, sf, "operator_sources").select("id", "type", F.date_format("import_date", "yyyy-MM").alias("snapshot"), "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
+    rows = latest_rows(s.where("ref <> '' AND snapshot IS NOT NULL"), ["type", "snapshot", "ref"], ["import_date", "id"])
+    log = audit.snapshot_versions(rows, "type", "snapshot", "ref", ["name", "icao_code", "iata_code"], "OperatorSource")
+    return log.select("type", "snapshot", "item_id", "event", F.array_join("changed", ",").alias("changed"))
+
+
+_COUNTRY_SIDES = """SELECT type, upper(trim(iso_2char_code)) AS iso2, name, capital, iso_3char_code, import_date FROM country_sources WHERE trim(iso_2char_code) <> '' AND import_date {op} TIMESTAMP '2024-05-01'
+ QUALIFY row_number() OVER (PARTITION BY type, upper(trim(iso_2char_code)) ORDER BY import_date DESC, id DESC) = 1"""
+
+
+@query(f"""WITH c AS ({_COUNTRY_SIDES.format(op='<')}), b AS ({_COUNTRY_SIDES.format(op='>=')})
+SELECT type, iso2, CASE WHEN b.iso2 IS NULL THEN c.name ELSE b.name END AS name, CASE WHEN b.iso2 IS NULL THEN c.capital ELSE b.capital END AS capital, CASE WHEN b.iso2 IS NULL THEN c.iso_3char_code ELSE b.iso_3char_code END AS iso_3char_code,
+ strftime(CASE WHEN outcome IN ('inserted', 'updated') THEN TIMESTAMP '2024-09-01' ELSE c.import_date END, '%Y-%m-%d %H:%M:%S') AS import_date, outcome
+FROM (SELECT coalesce(c.type, b.type) AS type, coalesce(c.iso2, b.iso2) AS iso2, c, b, CASE WHEN b.iso2 IS NULL THEN 'kept' WHEN c.iso2 IS NULL THEN 'inserted' WHEN c.name IS NOT DISTINCT FROM b.name AND c.capital IS NOT DISTINCT FROM b.capital AND c.iso_3char_code IS NOT DISTINCT FROM b.iso_3char_code THEN 'unchanged' ELSE 'updated' END AS outcome
+ FROM c FULL JOIN b ON c.type = b.type AND c.iso2 = b.iso2)""")
+def upsert_merge_changed_all(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.struct("type", F.upper(F.trim("iso_2char_code")).alias("iso2")).alias("key")
+    s = table(spark, sf, "country_sources").select(key, "name", "capital", "iso_3char_code", "import_date", "id").where("key.iso2 <> ''")
+    cut = F.lit("2024-05-01").cast("timestamp")
+    side = lambda c: upsert.last_wins(s.where(c), ["key"], ["import_date", "id"]).drop("id")
+    m = upsert.merge(side(F.col("import_date") < cut), side(F.col("import_date") >= cut), "key", ["name", "capital", "iso_3char_code"], "import_date", F.lit("2024-09-01").cast("timestamp"))
+    return m.select("key.type", "key.iso2", "name", "capital", "iso_3char_code", F.date_format("import_date", "yyyy-MM-dd HH:mm:ss").alias("import_date"), "outcome")
+
+
+@query()
+def search_ranked_all(spark: SparkSession, sf: str) -> DataFrame:
+    d = _denormalised(spark, sf).select("id", *_ATTRIBUTES)
+    return search.search(search.postings(d, "id", _ATTRIBUTES), "id", " ".join(w for w, _, _ in _WORDS))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators import audit, fieldmap, groups, resolve, search, upsert, validate
-from skyledger.plans import pipelines
+from skyledger.plans import parity, pipelines
 from skyledger.sources import text
 
 T = datetime
@@ -158,3 +158,71 @@ def test_merge_stamps_only_changes(spark):
     b = spark.createDataFrame([("a", 1), ("b", 2), ("d", 4)], "k string, v int")
     got = {r.k: (r.v, r["at"].year, r.outcome) for r in upsert.merge(c, b, "k", ["v"], "at", F.lit("2024-01-01").cast("timestamp")).collect()}
     assert got == {"a": (1, 2020, "unchanged"), "b": (2, 2024, "updated"), "c": (3, 2020, "kept"), "d": (4, 2024, "inserted")}
+
+
+def _slow_jaro_winkler(a, b):
+    w, used, mine = max(max(len(a), len(b)) // 2 - 1, 0), set(), []
+    for i, c in enumerate(a):
+        j = next((j for j in range(max(0, i - w), min(len(b), i + w + 1)) if b[j] == c and j not in used), None)
+        if j is not None:
+            used.add(j)
+            mine.append(c)
+    m = len(mine)
+    if not m:
+        return 0.0
+    j = (m / len(a) + m / len(b) + (m - sum(x != b[y] for x, y in zip(mine, sorted(used))) // 2) / m) / 3
+    prefix = next((k for k in range(4, 0, -1) if a[:k] == b[:k] and min(len(a), len(b)) >= k), 0)
+    return j + prefix * 0.1 * (1 - j) if j >= 0.7 else j
+
+
+def _folder(spark, path):
+    """Tables of three types, several months and names with accents."""
+    rows = []
+
+    def add(i, kind, day, ref, name, icao, iata):
+        rows.append((i, icao, iata, name, kind, T.fromisoformat(day), f'{{"source_ref": "{ref}"}}' if ref else "{}"))
+
+    add(1, "V", "2024-01-05", "a", "Café", "CAF", "C1")
+    add(2, "V", "2024-03-05", "a", "Café Álta", "CAF", "C1")
+    add(3, "V", "2024-03-05", "b", "Late One", None, "L1")
+    add(4, "O", "2024-01-05", "a", "Café Álta", "CAF", None)
+    add(5, "O", "2024-02-05", "c", "Cafe Alta", "CAG", "C2")
+    add(6, "R", "2024-01-05", "x", "Late Óne", "LAT", "L1")
+    add(7, "R", "2024-02-05", "x", "Late Óne", "LAT", "L1")
+    add(8, "R", "2024-02-05", "y", "Élan", "ELA", " ")
+    add(9, "V", "2024-02-05", "", "Sole", "SOL", None)
+    spark.createDataFrame(rows, "id long, icao_code string, iata_code string, name string, type string, import_date timestamp, data string").write.parquet(f"{path}/operator_sources.parquet")
+    spark.createDataFrame([("R", 3), ("V", 2), ("O", 1)], "type string, trust int").write.parquet(f"{path}/source_types.parquet")
+    spark.createDataFrame([(1, "Café", None, "C1"), (2, "Cafe", None, "C1"), (3, "Élan", "ELA", None)], "id long, name string, icao_code string, iata_code string").write.parquet(f"{path}/operators.parquet")
+    c = [(1, "A", "2024-01-01", "at", "Österreich"), (2, "A", "2024-06-01", "AT", "Austria"), (3, "B", "2024-06-01", "at ", "Austria"), (4, "B", "2024-01-01", "FR", "France"), (5, "B", "2024-07-01", "FR", "France")]
+    spark.createDataFrame([(i, iso, n, None, None, k, T.fromisoformat(d)) for i, k, d, iso, n in c], "id long, iso_2char_code string, name string, capital string, iso_3char_code string, type string, import_date timestamp").write.parquet(f"{path}/country_sources.parquet")
+    return str(path)
+
+
+def test_whole_tables(spark, tmp_path):
+    sf = _folder(spark, tmp_path)
+    got = lambda q: {tuple(r) for r in parity.QUERIES[q](spark, sf).collect()}
+    assert got("entity_resolve_merge_all") == {
+        (1, 7, "Late Óne", "LAT", "L1", ""), (1, 8, "Élan", "ELA", None, ""), (2, 2, "Café Álta", "CAF", "C1", ""), (2, 3, "Late One", None, "L1", ""), (2, 9, "Sole", "SOL", None, ""), (3, 5, "Cafe Alta", "CAG", "C2", ""),
+    }
+    assert got("exact_match_all") == {("V", "O", 2, 4)}
+    names = {("Café Álta", "Café"), ("Café Álta", "Cafe")}
+    assert got("jaro_winkler_pairs_all") == {(a, b, round(_slow_jaro_winkler(a, b), 6)) for a, b in names}
+    assert got("longest_prefix_join_all") == {(2, 1, "Café", "Álta"), (4, 1, "Café", "Álta"), (5, 2, "Cafe", "Alta"), (8, 3, "Élan", "")}
+    assert got("code_sets_all") == {
+        ("R", "V", "LAT", "left"), ("R", "V", "ELA", "left"), ("R", "V", "CAF", "right"), ("R", "V", "SOL", "right"), ("R", "O", "LAT", "left"), ("R", "O", "ELA", "left"), ("R", "O", "CAF", "right"), ("R", "O", "CAG", "right"),
+        ("V", "O", "CAF", "both"), ("V", "O", "SOL", "left"), ("V", "O", "CAG", "right"),
+    }
+    assert got("history_diff_all") == {
+        ("V", "2024-03", "a", "update", "name"), ("V", "2024-03", "b", "create", "name,iata_code"), ("O", "2024-02", "a", "destroy", "name,icao_code"), ("O", "2024-02", "c", "create", "name,icao_code,iata_code"), ("R", "2024-02", "y", "create", "name,icao_code,iata_code"),
+    }
+    assert got("upsert_merge_changed_all") == {
+        ("A", "AT", "Austria", None, None, "2024-09-01 00:00:00", "updated"), ("B", "AT", "Austria", None, None, "2024-09-01 00:00:00", "inserted"), ("B", "FR", "France", None, None, "2024-01-01 00:00:00", "unchanged"),
+    }
+
+
+def test_merge_of_all_sources_keeps_rejected_rows(spark):
+    side = lambda *r: spark.createDataFrame(r, S)
+    got = {(r.phase, r.src, tuple(r.errors)) for r in resolve.combine_all([side((1, "One", "AAA", None), (2, "Two", "aa", None)), side((11, "Other", "aaa", None)), side((21, "One", "AAA", "A1"), (22, None, "CCC", None))]).collect()}
+    assert got == {(1, 1, ()), (1, 2, ("icao_code",)), (2, 11, ("icao_code",)), (3, 22, ("name",))}
+    assert [tuple(r.errors) for r in resolve.combine_all([side((1, "One", "AAA", None))]).collect()] == [()]
