@@ -38,9 +38,16 @@ KEEP = 0.27
 #: Prior weight of the corpus's subjects in a term's.
 PRIOR = 1.0
 
+def _scanned(phrase: str) -> str:
+    """The phrase with any white space between its words, and with the mistakes that scanning makes of letters."""
+    looks = {"o": "[o0óòö]", "i": "[i1líì]", "l": "[l1i|]", "e": "[eécè]", "c": "[ce]", "a": "[aáà]", "u": "[uúü]", "n": "(?:n|ri)", "m": "(?:m|rn)", "h": "(?:h|li)", " ": r"\s+"}
+    return "".join(looks.get(ch, ch) for ch in phrase)
+
+
 #: Sentences that name an area only to set the invention apart from it.
-COMPARISON = re.compile(r"(?i)\b(?:unrelated fields?\b|fields? (?:that are )?unrelated\b|(?:is|are) not used here in the sense|nothing (?:there|in (?:it|them)) carries over)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+_SET_APART = ("unrelated field", "fields unrelated", "fields that are unrelated", "is not used here in", "are not used here in", "used here in the sense", "nothing there carries over", "nothing in it carries over", "nothing in them carries over", "comparison only", "not suited here")
+COMPARISON = re.compile(r"(?i)\b(?:" + "|".join(map(_scanned, _SET_APART)) + ")")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|<(?:br|/p|/div|/li)\b[^>]*>")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
