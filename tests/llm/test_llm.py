@@ -207,3 +207,28 @@ def test_sentences_of_comparison():
             left = subjects.own_text(join.join([own[0], s, *own[1:]]))
             assert "flap" not in left and "rotor" not in left and all(o.rstrip(".") in left for o in own)
     assert subjects.own_text(" ".join(own)) == " ".join(own)
+
+
+def test_partial_rows_and_joint_dependents(spark):
+    """Against all combinations: fuller rows first, and all bundles that follow from one are maximised together."""
+    random.seed(11)
+    some = lambda v, p: random.choice(v) if random.random() < p else None
+    rows = [(i, random.randint(0, 14), some("XYZ", 0.5), some("UV", 0.4), some("pq", 0.6), some("mn", 0.6), random.randint(1, 9)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, g int, x string, z string, y string, w string, trust int").withColumn("at", F.lit(T(2024, 1, 1)))
+    b = [survivors.Bundle("a", ("x", "z"), ("y", "w")), survivors.Bundle("y", ("y",)), survivors.Bundle("w", ("w",))]
+    got = {r.g: r for r in survivors.choose_bundles(df, "g", "id", b, "trust", "at").collect()}
+    for g, r in got.items():
+        own = [q for q in rows if q[1] == g]
+        filled = lambda q: (q[2] is not None) + (q[3] is not None)
+        most = max(map(filled, own))
+        if not most:
+            assert r.a is None
+            continue
+        top = lambda key, c: max([q[6] for q in own if (most < 2 or (q[2], q[3]) == key) and q[c] is not None], default=-1)
+        score = lambda key: max(q[6] for q in own if (q[2], q[3]) == key) + top(key, 4) + top(key, 5)
+        by_id = {q[0]: q for q in own}
+        a = by_id[r.a]
+        key = a[2:4]
+        assert filled(a) == most and (score(key) == max(score(q[2:4]) for q in own if filled(q) == most) if most == 2 else a[6] == max(q[6] for q in own if filled(q) == most))
+        for chosen, c in ((r.y, 4), (r.w, 5)):
+            assert (chosen is None) == (top(key, c) < 0) and (chosen is None or ((most < 2 or by_id[chosen][2:4] == key) and by_id[chosen][6] == top(key, c)))
