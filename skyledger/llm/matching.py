@@ -143,21 +143,27 @@ def calibrate(pairs: DataFrame) -> tuple[list[float], float, float]:
 def match(records: DataFrame, items: DataFrame) -> DataFrame:
     """(record, item, confidence) of matching rows; each side has names (array<struct<core, rest>>) and codes (array).
 
-    An item may match several records and the other way about, so copies of an entity all match.
+    A record has a row for each spelling and codes that it states; each of these variants is looked up by itself, once for
+    all records that state it, and the best one counts, so that further spellings don't weaken a match. An item may match
+    several records and the other way about, so copies of an entity all match.
     """
     toks = lambda names, codes: F.concat(F.flatten(F.transform(names, lambda n: name_tokens(n["core"], n["rest"]))), codes)
     postings = written(index(items.select("item", toks(F.col("names"), F.col("codes")).alias("tokens")), "item", "tokens"), "postings")
-    found = written(retrieve(records.select("record", toks(F.col("names"), F.col("codes")).alias("tokens")), "record", postings, "item"), "found")
-    a = records.select("record", F.col("names").alias("names_a"), F.col("codes").alias("codes_a"))
+    stated = records.select("record", F.to_json(F.struct("names", "codes")).alias("variant"), "names", "codes").distinct()
+    a = stated.dropDuplicates(["variant"]).select("variant", F.col("names").alias("names_a"), F.col("codes").alias("codes_a"))
+    found = written(retrieve(a.select("variant", toks(F.col("names_a"), F.col("codes_a")).alias("tokens")), "variant", postings, "item"), "found")
     b = items.select("item", F.col("names").alias("names_b"), F.col("codes").alias("codes_b"))
     level = F.array_max(F.transform("names_a", lambda x: F.array_max(F.transform("names_b", lambda y: _level(x["core"], x["rest"], y["core"], y["rest"])))))
 
     def code(kind: str) -> Column:
         mine, theirs = (F.filter(c, lambda x: x.startswith(kind)) for c in ("codes_a", "codes_b"))
-        return F.when((F.size(mine) == 0) | (F.size(theirs) == 0), 0).when(F.arrays_overlap(mine, theirs), 1).otherwise(-1)
+        return F.when((F.size(mine) > 0) & (F.size(theirs) > 0), F.when(F.arrays_overlap(mine, theirs), 1).otherwise(-1))
 
+    who = F.array_join(F.transform("names_b", lambda n: F.concat_ws(" ", n["core"], F.array_join(F.array_sort(F.split(n["rest"], " ")), " "))), "|").alias("who")
+    each = found.join(a, "variant").join(b, "item").select("variant", "item", (F.col("score") / F.col("own")).alias("score"), F.coalesce(level, F.lit(0)).alias("level"), code("i:").alias("icao"), code("a:").alias("iata"), who)
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
+    pairs = stated.select("record", "variant").join(each, "variant").groupBy("record", "item").agg(F.max("score").alias("score"), F.max("level").alias("level"), any_("icao"), any_("iata"), F.first("who").alias("who")).withColumn("own", F.lit(1.0))
     by_record, by_item = W.partitionBy("record"), W.partitionBy("item")
-    pairs = found.join(a, "record").join(b, "item").select("record", "item", "score", "own", F.coalesce(level, F.lit(0)).alias("level"), code("i:").alias("icao"), code("a:").alias("iata"), F.array_join(F.transform("names_b", lambda n: F.concat_ws(" ", n["core"], F.array_join(F.array_sort(F.split(n["rest"], " ")), " "))), "|").alias("who"))
     best = F.max("score").over(by_record)
     # The runner-up is the best candidate of another name than the best one; copies of the best are no rivals.
     top = F.max_by("who", F.struct("score", "item")).over(by_record)
@@ -180,17 +186,15 @@ def match(records: DataFrame, items: DataFrame) -> DataFrame:
 def match_operators(sources: DataFrame, operators: DataFrame) -> DataFrame:
     """(source_id, operator_id, confidence): rows of operator_sources with the operators that they describe.
 
-    All rows of a record (type and source_ref) are looked up together, by all names and codes that they state; a row
-    without source_ref is a record of its own. Rows without any usable name or code match nothing.
+    Each spelling with its codes that rows of a record (type and source_ref) state is looked up by itself, and the best
+    match holds for all rows of the record; a row without source_ref is a record of its own. Rows without any usable name or code match nothing.
     """
     m = sources.select("id", "type", "name", "icao_code", "iata_code", strip(members(F.col("data"))["source_ref"]).alias("ref"))
     m = m.select("id", "name", F.when(F.coalesce(F.col("ref"), F.lit("")) != "", F.concat_ws("|", "type", "ref")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))).alias("record"), code_tokens(F.col("icao_code"), F.col("iata_code")).alias("codes"))
     members_ = written(m, "rows")
-    distinct = with_name_parts(members_.select("record", "name").distinct(), "name")
-    names = distinct.groupBy("record").agg(F.collect_set(F.when((F.col("core") != "") | (F.col("rest") != ""), F.struct("core", "rest"))).alias("names"))
-    codes = members_.select("record", F.explode("codes").alias("c")).groupBy("record").agg(F.collect_set("c").alias("codes"))
-    none = F.array().cast("array<string>")
-    records = written(names.join(codes, "record", "left").select("record", "names", F.coalesce("codes", none).alias("codes")), "records")
+    distinct = with_name_parts(members_.select("record", "name", "codes").distinct(), "name")
+    named = F.when((F.col("core") != "") | (F.col("rest") != ""), F.array(F.struct("core", "rest"))).otherwise(F.array().cast("array<struct<core:string,rest:string>>"))
+    records = written(distinct.select("record", named.alias("names"), "codes").distinct(), "records")
     o = with_name_parts(operators.select(F.col("id").alias("item"), "name", code_tokens(F.col("icao_code"), F.col("iata_code")).alias("codes")), "name")
     items = written(o.select("item", F.array(F.struct("core", "rest")).alias("names"), "codes"), "items")
     found = match(records, items)

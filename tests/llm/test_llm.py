@@ -232,3 +232,19 @@ def test_partial_rows_and_joint_dependents(spark):
         assert filled(a) == most and (score(key) == max(score(q[2:4]) for q in own if filled(q) == most) if most == 2 else a[6] == max(q[6] for q in own if filled(q) == most))
         for chosen, c in ((r.y, 4), (r.w, 5)):
             assert (chosen is None) == (top(key, c) < 0) and (chosen is None or ((most < 2 or by_id[chosen][2:4] == key) and by_id[chosen][6] == top(key, c)))
+
+
+def test_matching_of_a_record_with_many_spellings(spark):
+    """All rows of a record keep their match, however many spellings and wrong codes its other rows state."""
+    random.seed(2)
+    name, letters = "Korvanta", "abcdefghijklmnopqrstuvwxyz"
+    rows = [(1, "Korvanta Cargo Jet", "KOR", "K1", "A", '{"source_ref":"R1"}')]
+    for i in range(2, 60):
+        k = random.sample(range(8), 3)
+        typed = "".join(random.choice(letters) if j in k else c for j, c in enumerate(name))
+        rows.append((i, f"{typed} Cargo Jet", "".join(random.choices(letters, k=3)).upper(), None, "A", '{"source_ref":"R1"}'))
+    ops = [(1, "Korvanta Cargo Jet", "KOR", "K1"), (2, "Mestrulo Air Services", "MES", "M1"), (3, "Zofrinda Flying School", "ZOF", "Z9"), (4, "Plegadi Airlines", "PLG", "P1")]
+    o = spark.createDataFrame(ops, "id long, name string, icao_code string, iata_code string")
+    s = spark.createDataFrame(rows, "id long, name string, icao_code string, iata_code string, type string, data string")
+    got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o).where(F.col("confidence") >= matching.ACCEPT).collect()}
+    assert got == {(r[0], 1) for r in rows}
