@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,11 +63,43 @@ def test_folds(spark):
     assert values(spark, ["A320-232", "B737-838", "PC-12/47E", "BD-500-1A11", None], model(rules.MODEL_FAMILY)) == ["A320-200", "B737-800", "PC-12", "A220-300", None]
     assert values(spark, ["Piper Aircraft Corp", "Textron Aviation Inc.", "the boeing company", "LEONARDO S.P.A. HELI"], model(rules.MANUFACTURERS)) == ["Piper", "Textron Aviation", "Boeing", "Leonardo"]
     assert values(spark, ["ACME PTY LTD", "QANTAS AIRWAYS LIMITED", "COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)", "CAPITEQ"], model(rules.OPERATORS)) == ["ACME", "Qantas", "Defence Australia", "Airnorth (Capiteq Pty Ltd)"]
-    assert values(spark, ["COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)"], model(rules.OPERATORS_LITERAL)) == ["COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)"]
+    assert values(spark, ["COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)"], model(rules.OPERATORS_BRACKETS_AS_GROUPS)) == ["COMMONWEALTH OF AUSTRALIA (DEPARTMENT OF DEFENCE)"]
     assert values(spark, ["Royal Flying Doctor Service (Qld)", "State Of New South Wales Represented By Nsw Police Force"], model(rules.OPERATOR_NAMES)) == ["Royal Flying Doctor Service", "NSW Police Force"]
     assert values(spark, ["A3200-232", "EMB-505", "DA 40"], model(rules.MODEL_DISPLAY)) == ["A3200-200", "EMB-500 Phenom 300", "DA40"]
 
 
+#: What stands for the parts of an expression that match more than themselves.
+SAMPLES = (
+    ("(?i)", ""), (r"\z", ""), (".*$", " and more"), (".*", "X/9"), ("(.*)?", ""), ("(.*)", "Central"), (r"(\d{1,2})\d{2}", "1234"), (r"\d{2,3}", "12"), ("[0-9]{2}", "10"), ("[0-9]{3}", "200"), (r"\d+", "12"), (r"\w*", "B2"), ("(-?)", "-"),
+    ("([234]", "(2"), (r"\(?", ""), (r"\)?", ""), (r"\.?", "."), (r"\(", "<"), (r"\)", ">"), ("(", ""), (")", ""), ("<", "("), (">", ")"), ("^", ""), ("$", ""),
+)
+
+
+@pytest.mark.parametrize("name", ["MANUFACTURERS", "MODEL_DISPLAY", "MODEL_FAMILY", "MODEL_ICAO", "OPERATORS", "OPERATOR_NAMES"])
+def test_every_rule_fires(spark, name):
+    """Literal texts, one for each rule and one in front of a second line, against Python's own substitution."""
+    table, texts = getattr(rules, name), []
+    for expression, _ in table:
+        for a, b in SAMPLES:
+            expression = expression.replace(a, b)
+        texts += [f"ACME {expression}" if expression.startswith(" ") else expression]
+    texts += [t + "\nsecond line" for t in texts] + ["nothing", "", "ACME PTY LTD\nsecond line"]
+    fired, want = set(), []
+    for t in texts:
+        for i, (expression, replacement) in enumerate(table):
+            new = re.sub(expression.replace(r"\z", r"\Z"), re.sub(r"\\(\d)", r"\\g<\1>", replacement), t, flags=re.M)
+            if new != t:
+                fired.add(i)
+            t = new
+        want.append(t)
+    assert values(spark, texts, lambda c: rules.fold(c, table)) == want
+    assert set(range(len(table))) - fired == SHADOWED.get(name, set())
+
+
+#: Rules that never fire, since an earlier rule of the table takes every text that they could.
+SHADOWED = {"MODEL_ICAO": {2}}
+
+
 def test_dates_and_numbers(spark):
     texts = ["2014-08-04", "04.08.2014", "2014/08/04", "20140804", "04 Aug 2014", "4 AUG 2014", " 2014-08-04 ", "2014-13-41", "soon", "", None]
     assert [str(v) for v in values(spark, texts, any_date)] == ["2014-08-04"] * 7 + ["None"] * 4
