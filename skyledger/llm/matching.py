@@ -14,18 +14,22 @@ from pyspark.sql.window import Window as W
 from skyledger.functions.jsonx import members
 from skyledger.functions.similarity import one_typo
 from skyledger.functions.text import is_filler, strip
-from skyledger.llm.names import parse
+from skyledger.llm.names import Words, learn
 from skyledger.llm.shared import written
 
 #: Usual parameters of BM25.
 K1, B = 1.2, 0.3
 #: Candidates count from this share of the score that the query's tokens could reach together.
 LEAST_SHARE = 0.25
-#: A candidate is among a record's nearest from this part of the record's best score, and must be among the item's nearest,
-#: from this part of the largest share of any record; a mistyped name alone halves its share.
-NEAR, NEAR_ITEM = 0.6, 0.3
-#: Part of a different code's odds that counts against equal names: one mistyped code doesn't make two entities.
-MISTYPED = 0.25
+#: A record's nearest items: those of its K best scores, and any other from NEAR of its best score, so that no number of
+#: copies of an item under different spellings is cut off.
+K, NEAR = 3, 0.6
+#: A record is among an item's nearest from this part of the item's largest share.
+NEAR_ITEM = 0.3
+#: Postings of a token beyond which they are cut by a salt and the queries repeated.
+HEAVY_TOKEN = 20_000
+#: What the weights are where there are no labels, in the order of FEATURES, and how many labelled pairs that weighs.
+PRIOR_WEIGHTS, PRIOR_PAIRS = (-4.0, 2.0, 2.0, 5.0, 2.5, 0.0, 2.0, -1.0), 3.0
 #: Pairs that the calibration is fitted on, at most.
 FIT_ON = 20_000
 #: Least confidence of a match.
@@ -42,11 +46,14 @@ def code_tokens(icao: Column, iata: Column) -> Column:
     return F.array_compact(F.array_distinct(F.array(one(icao), one(iata))))
 
 
-def with_name_parts(df: DataFrame, name: str) -> DataFrame:
+def with_name_parts(df: DataFrame, name: str, words: Words) -> DataFrame:
     """Adds core and rest of a name; both '' where it is missing or a filler."""
+    known = df.sparkSession.sparkContext.broadcast(words)  # bounded, see names.learn
+
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = known.value
         for f in frames:
-            parts = [parse(n) if isinstance(n, str) and n else ("X", "", "", "") for n in f[name]]
+            parts = [w.parse(n) if isinstance(n, str) and n else ("X", "", "", "") for n in f[name]]
             yield f.assign(core=[p[1] for p in parts], rest=[p[2] for p in parts])
 
     return df.withColumn(name, F.when(~is_filler(F.col(name)), F.col(name))).mapInPandas(work, StructType([*df.schema.fields, StructField("core", StringType()), StructField("rest", StringType())]))
@@ -71,6 +78,14 @@ def index(items: DataFrame, item: str, tokens: str) -> DataFrame:
     return rows.join(df, "token").select("token", item, (idf * gain).alias("impact"))
 
 
+def _fetched(must: DataFrame, query: str, postings: DataFrame, item: str) -> DataFrame:
+    """(query, item) of every item in the postings of a query's tokens; long postings are cut by a salt, so none is one task's."""
+    parts = postings.groupBy("token").agg(F.ceil(F.count("*") / HEAVY_TOKEN).cast("int").alias("_parts"))
+    p = postings.join(parts, "token").select("token", item, F.pmod(F.xxhash64(item), F.col("_parts")).cast("int").alias("_salt"))
+    q = must.select(query, "token").join(parts, "token").select(query, "token", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
+    return q.join(p, ["token", "_salt"]).select(query, item).distinct()
+
+
 def retrieve(queries: DataFrame, query: str, postings: DataFrame, item: str, least_share: float = LEAST_SHARE) -> DataFrame:
     """(query, item, score, own): every item that scores at least ``least_share`` of what the query's tokens could reach.
 
@@ -85,30 +100,37 @@ def retrieve(queries: DataFrame, query: str, postings: DataFrame, item: str, lea
     w = W.partitionBy(query)
     q = q.withColumn("own", F.sum("ub").over(w)).withColumn("_below", F.sum("ub").over(w.orderBy("ub", "token").rowsBetween(W.unboundedPreceding, 0)))
     q = written(q.withColumn("must", F.col("_below") >= least_share * F.col("own")), "queries")
-    cand = q.where("must").select(query, "token").join(postings.select("token", item), "token").select(query, item).distinct()
+    cand = _fetched(q.where("must"), query, postings, item)
     have = postings.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("token", "impact"))).alias("_m"))
     want = q.groupBy(query).agg(F.collect_list("token").alias("_t"), F.first("own").alias("own"))
     score = F.aggregate("_t", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(F.col("_m"), t), F.lit(0.0)))
     return cand.join(want, query).join(have, item).select(query, item, score.alias("score"), "own").where(F.col("score") >= least_share * F.col("own"))
 
 
-def _level(core_a: Column, rest_a: Column, core_b: Column, rest_b: Column) -> Column:
-    """3: equal names; 2: a shortened form, or one typo; 1: the coined name alone; 0: neither."""
+def nearest(found: DataFrame, query: str, k: int = K, near: float = NEAR) -> DataFrame:
+    """Of each query's items those of its k best scores, ties whole, and any others from ``near`` of its best score."""
+    w = W.partitionBy(query)
+    ranked = found.withColumn("_rank", F.dense_rank().over(w.orderBy(F.desc("score")))).withColumn("_best", F.max("score").over(w))
+    return ranked.where((F.col("_rank") <= k) | (F.col("score") >= near * F.col("_best"))).drop("_rank", "_best")
+
+
+def _level(core_a: Column, rest_a: Column, core_b: Column, rest_b: Column, weak: frozenset[str]) -> Column:
+    """3: equal names; 2: a shortened form, or one typo; 1: the coined name alone; 0: neither. Weak words alone shorten any name."""
     typo = (F.length(core_a) > 4) & (F.length(core_b) > 4) & F.coalesce(one_typo(core_a, core_b), F.lit(False))
     words = lambda r: F.array_sort(F.split(r, " "))
     same = words(rest_a) == words(rest_b)
-    short = lambda s, f: (s == "") | (s == "air") | f.startswith(F.concat(s, F.lit(" ")))
+    short = lambda s, f: (s == "") | s.isin(*weak) | f.startswith(F.concat(s, F.lit(" ")))
     part = short(rest_a, rest_b) | short(rest_b, rest_a)
     named = (core_a != "") & (core_b != "")
     return F.when(named & (core_a == core_b) & same, 3).when(named & (((core_a == core_b) & part) | (typo & same)), 2).when(named & ((core_a == core_b) | typo), 1).otherwise(0)
 
 
-def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
+def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, steps: int = 60, ridge: float = PRIOR_PAIRS) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to ``prior`` as by ``ridge`` pairs."""
+    w = prior.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
+        g = x.T @ (p - y) + ridge * (w - prior)
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         d = np.linalg.solve(h, g)
         w -= d
@@ -117,30 +139,38 @@ def _fit(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1.0) -> n
     return w
 
 
-FEATURES = ("one", "share", "gap", "same", "part", "coined")
+FEATURES = ("one", "share", "gap", "same", "part", "coined", "iata_same", "iata_other")
 
 
-def calibrate(pairs: DataFrame) -> tuple[list[float], float, float]:
-    """Weights of the features, and the log odds that an equal or a different code adds.
+def calibrate(pairs: DataFrame) -> tuple[list[float], float, float, float]:
+    """Weights of the features, and the log odds that an equal or a different longer code adds, and a different one where
+    the names are equal.
 
-    Pairs whose two records both state the longer code serve as labels of the rest of the evidence: equal or not. The
-    code's own odds come from pairs of equal names. A bounded sample by hash; without both labels fixed weights serve.
+    Pairs whose two records both state the longer code serve as labels of all other evidence: equal or not. The code's own
+    odds come from how often it is equal in pairs of equal names and equal shorter codes, against pairs of different names;
+    whether equal names with different longer codes are two entities or a mistyped code, the shorter codes of such pairs tell.
+    A bounded sample by hash; the fewer labels there are, the nearer the weights stay to PRIOR_WEIGHTS and the odds to 9 of
+    10 and 1 of 100.
     """
     known = pairs.where(F.col("icao") != 0)
     sample = known.orderBy(F.xxhash64("record", "item")).limit(FIT_ON).select(*FEATURES, "icao").toPandas()
     y = (sample["icao"] > 0).to_numpy(float)
-    if len(y) < 50 or y.min() == y.max():
-        return [-4.0, 2.0, 2.0, 5.0, 2.5, 0.0], 4.0, -2.0
-    w = _fit(sample[list(FEATURES)].to_numpy(float), y)
-    named = y[sample["same"].to_numpy() > 0]
-    right = (named.sum() + 1) / (len(named) + 2) if len(named) else 0.9
-    other = y[(sample[["same", "part", "coined"]].sum(axis=1) == 0).to_numpy()]
-    wrong = (other.sum() + 1) / (len(other) + 2) if len(other) else 0.01
-    wrong = min(max(wrong, 0.002), 0.2)
-    return w.tolist(), float(np.log(right / wrong)), float(np.log((1 - right) / (1 - wrong)))
-
-
-def match(records: DataFrame, items: DataFrame) -> DataFrame:
+    w = _fit(sample[list(FEATURES)].to_numpy(float).reshape(len(y), len(FEATURES)), y, np.array(PRIOR_WEIGHTS))
+    surely = y[((sample["same"] > 0) & (sample["iata_same"] > 0)).to_numpy(bool)]
+    other = y[(sample[["same", "part", "coined"]].sum(axis=1) == 0).to_numpy(bool)]
+    right = (surely.sum() + 0.9 * 10) / (len(surely) + 10)
+    wrong = (other.sum() + 0.01 * 100) / (len(other) + 100)
+    wrong = min(wrong, right / 2)
+    agree, differ = float(np.log(right / wrong)), float(np.log((1 - right) / (1 - wrong)))
+    clash = ((sample["same"] > 0) & (y == 0)).to_numpy(bool)
+    told = clash & ((sample["iata_same"] + sample["iata_other"]) > 0).to_numpy(bool)
+    x = sample[list(FEATURES)].to_numpy(float).reshape(len(y), len(FEATURES))[clash]
+    one = (float(sample["iata_same"][told].sum()) + 1) / (told.sum() + 2)
+    base = float((x[:, :-2] @ w[:-2]).mean()) if clash.any() else -differ
+    return w.tolist(), agree, differ, max(differ, float(np.log(one / (1 - one))) - base)
+
+
+def match(records: DataFrame, items: DataFrame, weak: frozenset[str] = frozenset()) -> DataFrame:
     """(record, item, confidence) of matching rows; each side has names (array<struct<core, rest>>) and codes (array).
 
     A record has a row for each spelling and codes that it states; each of these variants is looked up by itself, once for
@@ -153,7 +183,7 @@ def match(records: DataFrame, items: DataFrame) -> DataFrame:
     a = stated.dropDuplicates(["variant"]).select("variant", F.col("names").alias("names_a"), F.col("codes").alias("codes_a"))
     found = written(retrieve(a.select("variant", toks(F.col("names_a"), F.col("codes_a")).alias("tokens")), "variant", postings, "item"), "found")
     b = items.select("item", F.col("names").alias("names_b"), F.col("codes").alias("codes_b"))
-    level = F.array_max(F.transform("names_a", lambda x: F.array_max(F.transform("names_b", lambda y: _level(x["core"], x["rest"], y["core"], y["rest"])))))
+    level = F.array_max(F.transform("names_a", lambda x: F.array_max(F.transform("names_b", lambda y: _level(x["core"], x["rest"], y["core"], y["rest"], weak)))))
 
     def code(kind: str) -> Column:
         mine, theirs = (F.filter(c, lambda x: x.startswith(kind)) for c in ("codes_a", "codes_b"))
@@ -162,7 +192,9 @@ def match(records: DataFrame, items: DataFrame) -> DataFrame:
     who = F.array_join(F.transform("names_b", lambda n: F.concat_ws(" ", n["core"], F.array_join(F.array_sort(F.split(n["rest"], " ")), " "))), "|").alias("who")
     each = found.join(a, "variant").join(b, "item").select("variant", "item", (F.col("score") / F.col("own")).alias("score"), F.coalesce(level, F.lit(0)).alias("level"), code("i:").alias("icao"), code("a:").alias("iata"), who)
     any_ = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
-    pairs = stated.select("record", "variant").join(each, "variant").groupBy("record", "item").agg(F.max("score").alias("score"), F.max("level").alias("level"), any_("icao"), any_("iata"), F.first("who").alias("who")).withColumn("own", F.lit(1.0))
+    # All that comes from one record has one hash partition; of its variants the best one holds for each item.
+    pairs = stated.select("record", "variant").join(each, "variant").groupBy("record", "item").agg(F.max("score").alias("score"), F.max("level").alias("level"), any_("icao"), any_("iata"), F.min("who").alias("who"))
+    pairs = nearest(pairs, "record").withColumn("own", F.lit(1.0))
     by_record, by_item = W.partitionBy("record"), W.partitionBy("item")
     best = F.max("score").over(by_record)
     # The runner-up is the best candidate of another name than the best one; copies of the best are no rivals.
@@ -173,29 +205,32 @@ def match(records: DataFrame, items: DataFrame) -> DataFrame:
     one = lambda c: c.cast("double")
     pairs = written(
         pairs.select("record", "item", "icao", "iata", "level", F.lit(1.0).alias("one"), (F.col("score") / F.col("own")).alias("share"), gap.alias("gap"), one(F.col("level") == 3).alias("same"), one(F.col("level") == 2).alias("part"), one(F.col("level") == 1).alias("coined"),
-            ((F.col("score") >= NEAR * F.col("_best")) & (F.col("score") / F.col("own") >= NEAR_ITEM * F.col("_theirs"))).alias("mutual")),
+            one(F.col("iata") > 0).alias("iata_same"), one(F.col("iata") < 0).alias("iata_other"), (F.col("score") / F.col("own") >= NEAR_ITEM * F.col("_theirs")).alias("mutual")),
         "pairs",
     )
-    w, agree, differ = calibrate(pairs)
+    w, agree, differ, clash = calibrate(pairs)
     odds = sum((F.col(f) * x for f, x in zip(FEATURES, w)), F.lit(0.0))
-    for c, k in (("icao", 1.0), ("iata", 0.5)):
-        odds = odds + F.when(F.col(c) > 0, agree * k).when(F.col(c) < 0, F.when(F.col("same") > 0, differ * k * MISTYPED).otherwise(differ * k)).otherwise(0.0)
+    odds = odds + F.when(F.col("icao") > 0, agree).when((F.col("icao") < 0) & (F.col("same") > 0), clash).when(F.col("icao") < 0, differ).otherwise(0.0)
     return pairs.where("mutual").select("record", "item", "level", "icao", "iata", "share", "gap", (1 / (1 + F.exp(-odds))).alias("confidence"))
 
 
-def match_operators(sources: DataFrame, operators: DataFrame) -> DataFrame:
+def match_operators(sources: DataFrame, operators: DataFrame, words: Words | None = None) -> DataFrame:
     """(source_id, operator_id, confidence): rows of operator_sources with the operators that they describe.
 
     Each spelling with its codes that rows of a record (type and source_ref) state is looked up by itself, and the best
-    match holds for all rows of the record; a row without source_ref is a record of its own. Rows without any usable name or code match nothing.
+    match holds for all rows of the record; a row without source_ref is a record of its own. Rows without any usable name or code match nothing. Descriptive words of the names are learnt from both tables
+    unless ``words`` are given.
     """
     m = sources.select("id", "type", "name", "icao_code", "iata_code", strip(members(F.col("data"))["source_ref"]).alias("ref"))
     m = m.select("id", "name", F.when(F.coalesce(F.col("ref"), F.lit("")) != "", F.concat_ws("|", "type", "ref")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))).alias("record"), code_tokens(F.col("icao_code"), F.col("iata_code")).alias("codes"))
     members_ = written(m, "rows")
-    distinct = with_name_parts(members_.select("record", "name", "codes").distinct(), "name")
+    if words is None:
+        both = members_.select("name").unionByName(operators.select("name"))
+        words = learn(written(both.where(~is_filler(F.col("name"))).distinct(), "texts"))
+    distinct = with_name_parts(members_.select("record", "name", "codes").distinct(), "name", words)
     named = F.when((F.col("core") != "") | (F.col("rest") != ""), F.array(F.struct("core", "rest"))).otherwise(F.array().cast("array<struct<core:string,rest:string>>"))
     records = written(distinct.select("record", named.alias("names"), "codes").distinct(), "records")
-    o = with_name_parts(operators.select(F.col("id").alias("item"), "name", code_tokens(F.col("icao_code"), F.col("iata_code")).alias("codes")), "name")
+    o = with_name_parts(operators.select(F.col("id").alias("item"), "name", code_tokens(F.col("icao_code"), F.col("iata_code")).alias("codes")), "name", words)
     items = written(o.select("item", F.array(F.struct("core", "rest")).alias("names"), "codes"), "items")
-    found = match(records, items)
+    found = match(records, items, words.weak)
     return members_.select("record", F.col("id").alias("source_id")).join(found, "record").select("source_id", F.col("item").alias("operator_id"), "confidence", "level", "icao", "iata", "share", "gap")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skyledger.llm import matching, packing, subjects, survivors, tokens, variants
 from skyledger.llm.components import connected_components
-from skyledger.llm.names import parse
+from skyledger.llm.names import Words, abbreviates, learn, skeleton
 
 T = datetime
 
@@ -102,11 +102,51 @@ def test_bundles_keep_the_dependency(spark):
         assert not y or y[0][2] == x[2]
 
 
+#: Words as they would be learnt from a large table.
+WORDS = Words("air aircraft leasing jet flight management cargo island airways services flying school airlines".split(), given=["ione"], weak=["air"])
+
+
 def test_name_parts():
+    parse = lambda n: WORDS.parse(n)[:4]
     assert parse("Jet Ltd. (Klubruthiche)") == ("F", "klubruthiche", "jet", "")
     assert parse("Benstiregro, William P") == parse("Bill P Benstiregro") == ("P", "benstiregro", "william", "p")
     assert parse("VosenpliporFlt Mgmt") == parse("Vosenplipor Flight Management")
     assert parse("") == parse("--") == ("X", "", "", "")
+    # Coined words in any order; names whose words nobody knows.
+    assert parse("Blue Falcon Airways") == parse("Falcon Blue Airways") == ("F", "bluefalcon", "airways", "")
+    assert WORDS.parse("Blue Falcon Airways")[5] == WORDS.parse("Falcon Blue Awys")[5]
+    assert parse("Mueller Logistik Rheinland")[:2] == ("F", "logistikmuellerrheinland")
+    assert parse("Smith Brothers") == parse("Brothers, Smith") == ("N", "brotherssmith", "", "")
+    assert parse("Klorvan AG") == ("F", "klorvan", "", "") and Words(["agricultural"]).parse("Klorvan Ag Corp")[2] == "agricultural"
+
+
+def test_abbreviations():
+    pairs = [("avn", "aviation", True), ("svcs", "services", True), ("mgt", "management", True), ("transp", "transport", True), ("al", "airlines", True), ("flyg", "flying", True), ("cat", "cargo", False), ("argo", "cargo", False), ("x", "xylo", False)]
+    assert all(abbreviates(a, w) == yes for a, w, yes in pairs) and skeleton("phonetic") == skeleton("fonnetik")
+
+
+def coined(n: int, seed: int) -> list[str]:
+    r = random.Random(seed)
+    parts = [c + v for c in "bdfgklmnprstv" for v in "aeiou"]
+    return ["".join(r.choice(parts) for _ in range(5)) for _ in range(n)]
+
+
+def test_words_are_learnt(spark):
+    """What firms do and how people are called, in words that are in no list, is told by the company that words keep."""
+    r = random.Random(8)
+    trades, people = ["bakery", "foundry", "printworks", "brewery", "ropeworks"], ["aurelio", "brunhilde", "casimir", "dagny"]
+    names = [f"{c.title()} {r.choice(trades).title()} {r.choice(['Ltd', 'GmbH', ''])}".strip() for c in coined(300, 1)] + [f"{r.choice(people).title()} {c.title()}" for c in coined(200, 2)]
+    w = learn(spark.createDataFrame([(n,) for n in names], "name string"))
+    assert w.described == set(trades) and set(people) <= w.given and not w.described & w.given
+    groups = [
+        ["Zolgrimavo Foundry Ltd", "Zolgrimavo Fndry", "Foundry Zolgrimavo, Limited", "ZOLGRIMAVO FOUNDRY"], ["Zolgrimavo Brewery"],
+        ["Casimir Zolgrimavo", "Zolgrimavo, Casimir", "C. Zolgrimavo"], ["Blue Falcon Bakery", "Falcon Blue Bakery", "Blue Falcon Bkry"],
+        ["Tarnelukizo Printworks", "Tranelukzio Printworks"], ["Kadu Brewery", "Kaddu Brewery"], ["Otrimekasu Ropeworks", "Otrimekosi Ropeworks", "Otirmekasu Ropeworks"],
+    ]
+    all_ = [(n,) for n in names] + [(n,) for g in groups for n in g]
+    mine = {n for g in groups for n in g}
+    got = {(p.name_a, p.name_b) for p in variants.name_pairs(variants.name_entities(spark.createDataFrame(all_, "name string"))).collect() if p.name_a in mine and p.name_b in mine}
+    assert got == {tuple(sorted((a, b))) for g in groups for a in g for b in g if a != b}
 
 
 def test_variants(spark):
@@ -117,7 +157,7 @@ def test_variants(spark):
     ]
     names = [n for g in groups for n in g] * 2 + [None, "", "  "]
     df = spark.createDataFrame([(n, "x") for n in names], "name string, entity string")
-    got = {(r.name_a, r.name_b) for r in variants.name_pairs(variants.name_entities(df)).collect()}
+    got = {(r.name_a, r.name_b) for r in variants.name_pairs(variants.name_entities(df, WORDS)).collect()}
     want = {tuple(sorted((a, b), key=lambda s: s.encode())) for g in groups for a in g for b in g if a != b}
     assert got == want
     assert variants.name_entities(df.limit(0)).count() == 0
@@ -152,6 +192,22 @@ def test_retrieval_is_exact(spark):
                 assert (q, i) not in got or got[q, i] == pytest.approx(s)
 
 
+def test_nearest_keeps_ties_and_near_ones(spark):
+    rows = [(1, i, x) for i, x in enumerate([9.0, 9.0, 9.0, 8.0, 7.0, 6.0, 5.0, 1.0])] + [(2, 0, 4.0), (2, 1, 1.0), (2, 2, 0.5), (2, 3, 0.1)]
+    got = {(r.record, r.item) for r in matching.nearest(spark.createDataFrame(rows, "record int, item int, score double"), "record", k=3, near=0.6).collect()}
+    assert got == {(1, i) for i in range(6)} | {(2, 0), (2, 1), (2, 2)}
+
+
+def test_long_postings_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(matching, "HEAVY_TOKEN", 7)
+    monkeypatch.setattr(variants, "HEAVY_BLOCK", 5)
+    post = spark.createDataFrame([("air", i, 1.0) for i in range(60)] + [("x", 3, 2.0)], "token string, item int, impact double")
+    must = spark.createDataFrame([(q, t) for q in range(5) for t in ("air", "x")], "record int, token string")
+    assert matching._fetched(must, "record", post, "item").count() == 5 * 60
+    nodes = spark.createDataFrame([("b", f"n{i:02}", "s") for i in range(23)], "block string, node string, s string")
+    assert variants._block_pairs(nodes, ["s"]).count() == 23 * 22 // 2
+
+
 def test_matching(spark):
     ops = [(1, "Korvanta Cargo Jet", "KOR", "K1"), (2, "Korvanta Island Airways", "KIA", None), (3, "Mestrulo Air Services Limited", None, "M1"), (4, "MESTRULO AIR SVCS", "MES", None), (5, None, None, None), (6, "Zofrinda Flying School", "ZOF", "Z9")]
     src = [
@@ -160,7 +216,7 @@ def test_matching(spark):
     ]
     o = spark.createDataFrame(ops, "id long, name string, icao_code string, iata_code string")
     s = spark.createDataFrame(src, "id long, name string, icao_code string, iata_code string, type string, data string")
-    got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o).where(F.col("confidence") >= matching.ACCEPT).collect()}
+    got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o, WORDS).where(F.col("confidence") >= matching.ACCEPT).collect()}
     assert got == {(10, 1), (13, 1), (11, 1), (12, 3), (12, 4), (16, 6)}
     assert matching.match_operators(s.limit(0), o).count() == 0 and matching.match_operators(s, o.limit(0)).count() == 0
 
@@ -246,5 +302,5 @@ def test_matching_of_a_record_with_many_spellings(spark):
     ops = [(1, "Korvanta Cargo Jet", "KOR", "K1"), (2, "Mestrulo Air Services", "MES", "M1"), (3, "Zofrinda Flying School", "ZOF", "Z9"), (4, "Plegadi Airlines", "PLG", "P1")]
     o = spark.createDataFrame(ops, "id long, name string, icao_code string, iata_code string")
     s = spark.createDataFrame(rows, "id long, name string, icao_code string, iata_code string, type string, data string")
-    got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o).where(F.col("confidence") >= matching.ACCEPT).collect()}
+    got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o, WORDS).where(F.col("confidence") >= matching.ACCEPT).collect()}
     assert got == {(r[0], 1) for r in rows}
