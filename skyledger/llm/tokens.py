@@ -4,6 +4,11 @@ Texts are cut into words by RE2 expressions; distinct words that the worker hasn
 recursive query that joins the merge table and contracts each word's leftmost pair of minimum rank, and that pair's other
 occurrences in the word with it, until no pair is left. Words' ids are kept for later texts and put together by ordered
 aggregation.
+
+Words longer than PIECE bytes go through the query in pieces. Tokens in a row are the encoding of their bytes if and only
+if every two neighbours are that of theirs, so the pieces' tokens are checked where they meet, and where two don't fit the
+tokens around are put together and encoded anew, in a window that grows until both its ends fit. So the time goes with the
+length of a word, not its square, and the ids are exactly those of the whole word.
 """
 
 from __future__ import annotations
@@ -20,6 +25,10 @@ TOKENIZERS = "/opt/tokenizers"
 CHUNK_BYTES = 10 << 20
 #: A worker forgets its words when it knows more than this; they are simply worked out again.
 WORDS_KEPT = 1_000_000
+#: Bytes of a word, or of a piece of a longer one, that the recursive query works on.
+PIECE = 48
+#: The query keeps the rows of every step, so words go in batches of at most so many squared bytes (about 60 bytes a row).
+BATCH = 2_000_000
 
 #: White space of the tokenizer's word pattern, as RE2 class body.
 SPACE = r"\t\n\v\f\r\x{85}\p{Z}"
@@ -62,7 +71,7 @@ _FIXPOINT = """
 CREATE OR REPLACE TEMP TABLE fresh_ids AS
 WITH RECURSIVE s(step, w, pos, tok) AS (
   SELECT 0, f.w, p.pos, b.id
-  FROM (SELECT w, hex(encode(w)) AS h FROM fresh) f, LATERAL (SELECT unnest(range(length(f.h) // 2)) AS pos) p
+  FROM fresh f, LATERAL (SELECT unnest(range(length(f.h) // 2)) AS pos) p
   JOIN byte_ids b ON b.hex = substr(f.h, 2 * p.pos + 1, 2)
   UNION ALL
   SELECT step + 1, w, pos, CASE WHEN take THEN m ELSE tok END
@@ -95,7 +104,8 @@ class Encoder:
         import duckdb
 
         self.con = duckdb.connect()
-        for option in ("threads = 1", "preserve_insertion_order = false", "memory_limit = '600MB'", "allocator_background_threads = false"):
+        # Nothing spills to the worker's own disk: what is held at once is bounded by CHUNK_BYTES, BATCH and WORDS_KEPT.
+        for option in ("threads = 1", "preserve_insertion_order = false", "memory_limit = '800MB'", "temp_directory = ''", "allocator_background_threads = false"):
             self.run(f"SET {option}")
         pairs = pa.table({"l": pa.array(merges["l"], pa.int32()), "r": pa.array(merges["r"], pa.int32()), "rank": pa.array(merges["rank"], pa.int32()), "m": pa.array(merges["m"], pa.int32())})
         single = pa.table({"hex": merges["hex"], "id": pa.array(merges["id"], pa.int32())})
@@ -103,6 +113,12 @@ class Encoder:
         self.con.register("_single", single)
         self.run("CREATE TABLE merges AS SELECT * FROM _pairs")
         self.run("CREATE TABLE byte_ids AS SELECT * FROM _single")
+        self.bytes_of = {i: bytes.fromhex(h) for h, i in zip(merges["hex"], merges["id"])}
+        for a, b, m in zip(merges["l"], merges["r"], merges["m"]):
+            self.bytes_of[m] = self.bytes_of[a] + self.bytes_of[b]
+        # A token that two merges make wouldn't be told by its bytes, and pieces couldn't be checked by neighbours.
+        self.by_pieces = len(set(merges["m"])) == len(merges["m"])
+        self.fits: dict[tuple[int, int], bool] = {}
         self.forget()
 
     @classmethod
@@ -135,11 +151,91 @@ class Encoder:
         """Ids of words that weren't known."""
         if self.n_known > WORDS_KEPT:
             self.forget()
-        self.run("CREATE OR REPLACE TEMP TABLE fresh AS SELECT DISTINCT w FROM cut ANTI JOIN known USING (w)")
-        self.run(_FIXPOINT)
-        self.run(f"INSERT INTO known SELECT w, ids, {_SIGNS} FROM (SELECT *, md5_number_lower(lower(trim(w))) AS h FROM fresh_ids)")
+        self.run("CREATE OR REPLACE TEMP TABLE unknown AS SELECT *, sum(strlen(w) * strlen(w)) OVER (ORDER BY strlen(w), w) // $b AS batch FROM (SELECT DISTINCT w FROM cut ANTI JOIN known USING (w))", {"b": BATCH})
+        size = f"strlen(w) <= {PIECE}" if self.by_pieces else "true"
+        for (batch,) in self.run(f"SELECT DISTINCT batch FROM unknown WHERE {size} ORDER BY batch"):
+            self.run(f"CREATE OR REPLACE TEMP TABLE fresh AS SELECT w, hex(encode(w)) AS h FROM unknown WHERE batch = $b AND {size}", {"b": batch})
+            self.run(_FIXPOINT)
+            self._keep("fresh_ids")
+        long = [w for (w,) in self.run(f"SELECT w FROM unknown WHERE NOT ({size})")]
+        if long:
+            ids = self._long([w.encode() for w in long])
+            self.con.register("_long", pa.table({"w": pa.array(long, pa.string()), "ids": pa.array(ids, pa.list_(pa.int32()))}))
+            self._keep("_long")
+            self.con.unregister("_long")
         self.n_known = self.run("SELECT count(*) FROM known")[0][0]
 
+    def _keep(self, source: str) -> None:
+        self.run(f"INSERT INTO known SELECT w, ids, {_SIGNS} FROM (SELECT *, md5_number_lower(lower(trim(w))) AS h FROM {source})")
+
+    def _pieces(self, pieces: set[bytes]) -> dict[bytes, list[int]]:
+        """Ids of pieces of words by the recursive query, in batches."""
+        out: dict[bytes, list[int]] = {}
+        batch: list[str] = []
+        held = 0
+        for p in [*sorted(pieces, key=len), None]:
+            if batch and (p is None or held + len(p) ** 2 > BATCH):
+                self.con.register("_fresh", pa.table({"w": batch, "h": batch}))
+                self.run("CREATE OR REPLACE TEMP TABLE fresh AS SELECT * FROM _fresh")
+                self.con.unregister("_fresh")
+                self.run(_FIXPOINT)
+                out |= {bytes.fromhex(w): ids for w, ids in self.run("SELECT w, ids FROM fresh_ids")}
+                batch, held = [], 0
+            if p is not None:
+                batch.append(p.hex().upper())
+                held += len(p) ** 2
+        return out
+
+    def _long(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of long words, from those of pieces that are made to fit."""
+        cuts = [[w[i : i + PIECE] for i in range(0, len(w), PIECE)] for w in words]
+        ids = self._pieces({p for c in cuts for p in c})
+        tokens = [[ids[p] for p in c] for c in cuts]
+        # Runs of tokens that are known to be right; where two runs meet is to be checked.
+        reach = 4
+        if len(self.fits) > WORDS_KEPT:
+            self.fits.clear()
+        while True:
+            meet = {(a[-1], b[0]) for runs in tokens for a, b in zip(runs, runs[1:])} - self.fits.keys()
+            if meet:
+                whole = {(a, b): self.bytes_of[a] + self.bytes_of[b] for a, b in meet}
+                ids = self._pieces(set(whole.values()))
+                self.fits |= {ab: ids[w] == [*ab] for ab, w in whole.items()}
+            again: list[tuple[int, list[list[int] | bytes]]] = []
+            for i, runs in enumerate(tokens):
+                out: list[list[int] | bytes] = []
+                flat = [t for r in runs for t in r]
+                at, bad = 0, []
+                for a, b in zip(runs, runs[1:]):
+                    at += len(a)
+                    if not self.fits[a[-1], b[0]]:
+                        bad.append(at)
+                if not bad:
+                    tokens[i] = [flat]
+                    continue
+                start = 0
+                for k, j in enumerate(bad):
+                    lo, hi = max(j - reach, start), min(j + reach, len(flat))
+                    if out and lo <= start and k:  # windows that touch are one
+                        lo = start
+                        window = out.pop() if isinstance(out[-1], bytes) else b""
+                    else:
+                        window = b""
+                        if lo > start:
+                            out.append(flat[start:lo])
+                    hi = max(hi, lo)
+                    out.append(window + b"".join(self.bytes_of[t] for t in flat[lo:hi]))
+                    start = hi
+                if start < len(flat):
+                    out.append(flat[start:])
+                again.append((i, out))
+            if not again:
+                return [runs[0] for runs in tokens]
+            ids = self._pieces({x for _, out in again for x in out if isinstance(x, bytes)})
+            for i, out in again:
+                tokens[i] = [ids[x] if isinstance(x, bytes) else x for x in out]
+            reach *= 2
+
     def run(self, sql: str, values: dict | None = None) -> list:
         """Runs to the end: a connection allows one unfinished result at a time."""
         return self.con.execute(sql, values or {}).fetchall()

@@ -5,6 +5,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def test_ids_equal_the_tokenizers(spark):
     assert tokens.encode(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_long_words():
+    """Words of thousands of letters without a blank: ids of the whole word, in time that goes with its length."""
+    want, enc, r = tokenizer(), tokens.Encoder(tokens.load_merges(f"{tokens.TOKENIZERS}/byte_bpe_50k.json")), random.Random(4)
+    letters = ["acgt", "ab", "a", "é漢🙂x", "abcdefghijklmnopqrstuvwxyz", "ABCDEFabcdef0123456789", "0123456789", "=-_", " "]
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in letters for n in (47, 48, 49, 96, 700, 3000)] + ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))]
+    enc.cut(pa.array(texts))
+    enc.learn()
+    got = enc.query("SELECT doc, flatten(list(ids ORDER BY p)) AS ids FROM cut JOIN known USING (w) GROUP BY doc")
+    got = dict(zip(got.column("doc").to_pylist(), got.column("ids").to_pylist()))
+    for i, t in enumerate(texts):
+        assert got[i] == want.encode(t, add_special_tokens=False).ids, (i, t[:40])
+
+
 def test_lengths_equal_the_ids(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     ids = {r.doc_id: len(r.ids) for r in tokens.encode(df, "doc_id", "text").collect()}
