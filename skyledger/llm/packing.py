@@ -15,8 +15,12 @@ from skyledger.llm.tokens import TOKENIZERS, measure
 
 #: Bits of each coordinate of the curve.
 BITS = 10
-#: Neighbouring items along the curve that are packed together; the more, the less space is left over.
-BLOCK = 16_384
+#: Neighbouring items along the curve that are packed at a time; the more, the less alike are a container's items.
+WINDOW = 64
+#: Containers filled to this part are closed; the items of the others are packed again with the next neighbours.
+FULL = 0.995
+#: Items that wait for neighbours, at most; beyond it all their containers are closed.
+WAITING = 1024
 #: Items of a partition, about.
 PER_PARTITION = 50_000
 
@@ -67,9 +71,12 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return out
 
 
-def pack(sized: DataFrame, key: str, size: str, curve: str, capacity: int, block: int = BLOCK, per_partition: int = PER_PARTITION) -> DataFrame:
+def pack(sized: DataFrame, key: str, size: str, curve: str, capacity: int, window: int = WINDOW, per_partition: int = PER_PARTITION) -> DataFrame:
     """(key, piece, n_tokens, container_id, place) of every row, packed among neighbours along ``curve``.
 
+    Along the curve ``window`` items at a time are packed, together with those that wait, by best-fit decreasing; full
+    containers are closed, and the items of the others wait for the next neighbours.
+
     An item longer than ``capacity`` is divided into full pieces and a rest, any other is piece 0. Items of size 0 take a
     place, too. Ties along the curve go by key. No rows: no containers.
     """
@@ -84,28 +91,34 @@ def pack(sized: DataFrame, key: str, size: str, curve: str, capacity: int, block
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        held: list[pd.DataFrame] = []
-        n = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal first, held, n
-            df = pd.concat(held, ignore_index=True)
-            bins = best_fit(df["n_tokens"].to_numpy(), capacity)
-            where = np.fromiter((c for c, b in enumerate(bins) for _ in b), np.int64, len(df))
-            place = np.fromiter((p for b in bins for p in range(len(b))), np.int32, len(df))
-            df = df.iloc[np.fromiter((i for b in bins for i in b), np.int64, len(df))]
-            df = df.assign(container_id=first + where, place=place)[[key, "piece", "n_tokens", "container_id", "place"]]
-            first += len(bins)
-            held, n = [], 0
-            return df
+        waiting: pd.DataFrame | None = None
+
+        def closed(df: pd.DataFrame, least: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+            nonlocal first
+            sizes = df["n_tokens"].to_numpy()
+            bins = best_fit(sizes, capacity)
+            keep = [b for b in bins if sizes[b].sum() >= least]
+            left = sorted(i for b in bins if sizes[b].sum() < least for i in b)
+            count = sum(map(len, keep))
+            where = np.fromiter((c for c, b in enumerate(keep) for _ in b), np.int64, count)
+            place = np.fromiter((p for b in keep for p in range(len(b))), np.int32, count)
+            done = df.iloc[np.fromiter((i for b in keep for i in b), np.int64, count)]
+            done = done.assign(container_id=first + where, place=place)[[key, "piece", "n_tokens", "container_id", "place"]]
+            first += len(keep)
+            return done, df.iloc[left]
 
         for f in frames:
-            held.append(f)
-            n += len(f)
-            if n >= block:
-                yield flush()
-        if n:
-            yield flush()
+            out = []
+            for at in range(0, len(f), window):
+                df = f.iloc[at : at + window]
+                if waiting is not None and len(waiting):
+                    df = pd.concat([waiting, df], ignore_index=True)
+                done, waiting = closed(df, FULL * capacity if len(df) <= WAITING else 0)
+                out.append(done)
+            if out:
+                yield pd.concat(out, ignore_index=True)
+        if waiting is not None and len(waiting):
+            yield closed(waiting, 0)[0]
 
     kind = sized.schema[key].dataType.simpleString()
     ordered = items.repartitionByRange(parts, curve, key, "piece").sortWithinPartitions(curve, key, "piece")
@@ -124,6 +137,6 @@ def curve_keys(measured: DataFrame, key: str, bits: int = BITS) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, key: str, text: str, capacity: int = 2048, tokenizers: str = TOKENIZERS) -> DataFrame:
-    """Documents, sized in tokens, into containers, similar documents side by side."""
+    """Documents, sized in tokens, into containers, similar documents in the same ones."""
     sized = written(curve_keys(measure(docs, key, text, tokenizers=tokenizers), key), "sized")
     return pack(sized, key, "n_tokens", "curve", capacity)

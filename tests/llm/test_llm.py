@@ -82,6 +82,19 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), "doc_id", "n_tokens", "curve", 2048).count() == 0
 
 
+def test_containers_hold_neighbours(spark):
+    """Along the curve: what shares a container is near each other, where random company would be a third of the curve apart."""
+    random.seed(6)
+    n = 6000
+    df = spark.createDataFrame([(i, random.randint(50, 1500), random.randint(0, n)) for i in range(n)], "doc_id long, n_tokens long, curve long")
+    out = packing.pack(df, "doc_id", "n_tokens", "curve", 2048).join(df.select("doc_id", "curve"), "doc_id").toPandas()
+    by = out.groupby("container_id")
+    assert by["n_tokens"].sum().max() <= 2048 and out["n_tokens"].sum() / (2048 * len(by)) > 0.98
+    assert (by["curve"].max() - by["curve"].min()).median() < n / 30
+    big = spark.createDataFrame([(i, 1500, i) for i in range(3000)], "doc_id long, n_tokens long, curve long")  # nothing fits with anything
+    assert packing.pack(big, "doc_id", "n_tokens", "curve", 2048).select("container_id").distinct().count() == 3000
+
+
 SRC = "id long, type string, import_date timestamp, data string, trust int"
 
 
