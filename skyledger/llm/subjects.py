@@ -3,6 +3,10 @@
 Two documents are linked by every term that both hold, with the term's weight times its frequency in each; the links are
 kept factored as a graph of documents and terms, which holds exactly the same similarities without listing pairs. A link
 counts only through terms that are verified to tell subjects apart (MIN_GAIN), so general vocabulary links nothing.
+
+A sentence may name a subject only to set the document apart from it. Which ones do is learnt from the labelled documents:
+words whose sentences name other subjects than their document's own far more often than sentences do in general. Sentences
+that hold such a word are no part of the graph.
 """
 
 from __future__ import annotations
@@ -23,14 +27,17 @@ from skyledger.llm.shared import written
 FIT_ON = 50_000
 #: Terms count from this part of what knowing a document's subject tells (the entropy of the subjects in the corpus).
 MIN_GAIN = 0.22
-#: Rounds of propagation after the first estimate.
-ROUNDS = 2
+#: Rounds of propagation go on until at most this share of the documents changes its subjects, or this often.
+SETTLED, ROUNDS = 0.002, 8
+#: A word tells of comparison where its sentences name their document's own subjects at most this part as often as all
+#: sentences do; as much evidence for the usual as so many documents weigh comes first.
+FOREIGN, FOREIGN_PRIOR = 0.4, 3.0
+#: Terms and words of comparison that the fit on labelled documents yields, at most: those that tell most.
+FIT_TERMS, FIT_WORDS = 200_000, 20_000
 #: Term tables of at most so many rows are broadcast.
 BROADCAST_TERMS = 100_000
 #: Labelled documents are broadcast up to this number of rows of one key and one share per subject.
 BROADCAST_SEEDS = 150_000
-#: Share of a trusted seed's own label in what it passes on.
-CLAMP = 0.7
 #: A label is trusted where the document's own terms give its subject at least this share of the largest one's.
 TRUSTED = 0.1
 #: Subjects are kept from this share of the document's largest one, a trusted label's from TRUSTED.
@@ -38,24 +45,13 @@ KEEP = 0.27
 #: Prior weight of the corpus's subjects in a term's.
 PRIOR = 1.0
 
-def _scanned(phrase: str) -> str:
-    """The phrase with any white space between its words, and with the mistakes that scanning makes of letters."""
-    looks = {"o": "[o0óòö]", "i": "[i1líì]", "l": "[l1i|]", "e": "[eécè]", "c": "[ce]", "a": "[aáà]", "u": "[uúü]", "n": "(?:n|ri)", "m": "(?:m|rn)", "h": "(?:h|li)", " ": r"\s+"}
-    return "".join(looks.get(ch, ch) for ch in phrase)
-
-
-#: Sentences that name an area only to set the invention apart from it.
-_SET_APART = ("unrelated field", "fields unrelated", "fields that are unrelated", "is not used here in", "are not used here in", "used here in the sense", "nothing there carries over", "nothing in it carries over", "nothing in them carries over", "comparison only", "not suited here")
-COMPARISON = re.compile(r"(?i)\b(?:" + "|".join(map(_scanned, _SET_APART)) + ")")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|<(?:br|/p|/div|/li)\b[^>]*>")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
-def own_text(text: str) -> str:
-    """The text without sentences of comparison."""
-    if not COMPARISON.search(text):
-        return text
-    return "\n".join(s for s in _SENTENCE.split(text) if not COMPARISON.search(s))
+def own_text(text: str, foreign: frozenset[str]) -> str:
+    """The text without the sentences that hold a word of comparison."""
+    return "\n".join(x for x in _SENTENCE.split(text) if foreign.isdisjoint(_WORD.findall(x.lower())))
 
 
 class _Words(dict):
@@ -69,13 +65,20 @@ class _Words(dict):
         return words
 
 
-def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[float]] | None = None) -> DataFrame:
+def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[float]] | None = None, foreign: frozenset[str] = frozenset()) -> DataFrame:
     """(key, terms array<string>, lf array<float>) of texts that aren't null or blank: terms, each once, and the
-    logarithms of one more than their counts. With a model of terms also q, the subjects' shares among its terms, null
-    where the text has none of them.
+    logarithms of one more than their counts, without sentences that hold a ``foreign`` word. With a model of terms also q,
+    the subjects' shares among its terms, null where the text has none of them.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None
+    shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None  # FIT_TERMS at most
+
+    def count(t: str, words: _Words) -> dict[str, int]:
+        n: dict[str, int] = {}
+        for piece, c in Counter(t.split()).items():
+            for w in words[piece]:
+                n[w] = n.get(w, 0) + c
+        return n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -85,10 +88,9 @@ def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[floa
         for batch in batches:
             ends, terms, lf, q = [0], [], [], []
             for t in batch.column(1).to_pylist():
-                n: dict[str, int] = {}
-                for piece, c in Counter(own_text(t).split()).items():
-                    for w in words[piece]:
-                        n[w] = n.get(w, 0) + c
+                n = count(t, words)
+                if not foreign.isdisjoint(n):
+                    n = count(own_text(t, foreign), words)
                 logs = [log[c] if c < 1024 else math.log1p(c) for c in n.values()]
                 terms.extend(n)
                 lf.extend(logs)
@@ -104,6 +106,42 @@ def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[floa
     return docs.where(F.col(text).rlike(rf"[^{BLANKS}]")).select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<float>" + ", q array<double>" * bool(shared))
 
 
+def foreign_words(docs: DataFrame, labels: DataFrame, key: str, text: str, model: dict[str, list[float]]) -> frozenset[str]:
+    """Words whose sentences name other subjects than those of their document; ``labels`` has y, the shares of the labels.
+
+    Each document counts once for a word, by the mean over its sentences that hold the word and a term of the model: the
+    share of these terms whose first subject is one of the document's.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast({t: max(range(len(m) - 1), key=m.__getitem__) for t, m in model.items()})
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subject_of = shared.value
+        n: Counter = Counter()
+        own: Counter = Counter()
+        for batch in batches:
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen: Counter = Counter()
+                right: Counter = Counter()
+                for sentence in _SENTENCE.split(t):
+                    words = set(_WORD.findall(sentence.lower()))
+                    telling = words & subject_of.keys()
+                    if telling:
+                        ok = sum(y[subject_of[w]] > 0 for w in telling) / len(telling)
+                        for w in words - telling:
+                            seen[w] += 1
+                            right[w] += ok
+                for w, c in seen.items():
+                    n[w] += 1
+                    own[w] += right[w] / c
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([float(own[w]) for w in n], pa.float64())], names=["word", "n", "own"])
+
+    rows = docs.where(F.col(text).rlike(rf"[^{BLANKS}]")).join(F.broadcast(labels), key).select(text, "y")  # FIT_ON rows at most
+    sums = written(rows.mapInArrow(work, "word string, n long, own double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "words")
+    usual = sums.agg(F.sum("own") / F.sum("n")).head()[0] or 1.0
+    rate = (F.col("own") + FOREIGN_PRIOR * usual) / (F.col("n") + FOREIGN_PRIOR)
+    return frozenset(r["word"] for r in sums.where(rate <= FOREIGN * usual).orderBy(F.desc("n"), "word").limit(FIT_WORDS).collect())
+
+
 def clean_labels(labels: DataFrame, subjects: DataFrame, key: str, subject: str) -> DataFrame:
     """Distinct (key, subject): spelled as in ``subjects`` whatever the case and blanks; labels of no known subject are left out."""
     known = subjects.select(F.col(subject).alias("_known"), F.lower(strip(F.col(subject))).alias("_s")).where(F.col("_s") != "").dropDuplicates(["_s"])
@@ -138,6 +176,17 @@ def _sums(rows: DataFrame, names: list[str]) -> DataFrame:
     return _links(rows, ["shares"]).groupBy("term").agg(*_sum_of("shares", names))
 
 
+def _sums_by_model(rows: DataFrame, model: DataFrame, names: list[str]) -> DataFrame:
+    """The same, where a document of several subjects passes to a term mostly those that the term already has."""
+    joined = _links(rows, ["shares"]).join(_small(model), "term")
+    # Plain columns, since lambdas would leave generated code.
+    both = [F.col("shares")[i] * F.col("g")[i] for i in range(len(names))]
+    flat = joined.select("term", *[b.alias(f"f{i}") for i, b in enumerate(both)], *[F.col("shares")[i].alias(f"x{i}") for i in range(len(names))])
+    total = sum((F.col(f"f{i}") for i in range(len(names))), F.lit(0.0))
+    flat = flat.withColumn("_t", total)
+    return flat.groupBy("term").agg(*[F.sum(F.when(F.col("_t") > 0, F.col(f"f{i}") / F.col("_t")).otherwise(F.col(f"x{i}"))).alias(f"s{i}") for i in range(len(names))])
+
+
 def _estimate(links: DataFrame, model: DataFrame, key: str, names: list[str]) -> DataFrame:
     """(key, q array<double>): shares of the subjects among a document's verified terms."""
     joined = links.join(_small(model), "term")
@@ -151,12 +200,16 @@ def _sharpened(q: Column) -> Column:
     return F.transform(square, lambda x: x / total)
 
 
-def _clamped(q: Column, y: Column) -> Column:
-    """What a document passes on: its sharpened estimate, with the trusted labels of a seed held to CLAMP."""
-    trusted = F.zip_with(y, q, lambda y, x: F.when(x >= TRUSTED * F.array_max(q), y).otherwise(F.lit(0.0)))
-    total = F.aggregate(trusted, F.lit(0.0), lambda a, x: a + x)
-    own = _sharpened(q)
-    return F.when(F.coalesce(total, F.lit(0.0)) > 0, F.zip_with(own, trusted, lambda x, y: (1 - CLAMP) * x + CLAMP * y / total)).otherwise(own)
+def _passed_on(q: Column) -> Column:
+    """What a document passes on: the subjects that it keeps, the stronger ones more."""
+    return _sharpened(F.transform(q, lambda x: F.when(x >= KEEP * F.array_max(q), x).otherwise(F.lit(0.0))))
+
+
+def _trusted(q: Column, y: Column) -> Column:
+    """The labels of a seed that its own terms don't speak against, as shares; null where there is none."""
+    ok = F.when(q.isNull(), y).otherwise(F.zip_with(y, q, lambda y, x: F.when(x >= TRUSTED * F.array_max(q), y).otherwise(F.lit(0.0))))
+    total = F.aggregate(ok, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.transform(ok, lambda x: x / total))
 
 
 def _base(shares: DataFrame, names: list[str]) -> list[float]:
@@ -167,11 +220,19 @@ def _base(shares: DataFrame, names: list[str]) -> list[float]:
     return [max(x / total, 1e-6) for x in sums]
 
 
+def _fitted(fit: DataFrame, names: list[str]) -> dict[str, list[float]]:
+    """Terms of labelled documents with their shares of the subjects and weights, FIT_TERMS at most, those that tell most."""
+    rows = _term_model(_sums(fit, names), names, _base(fit, names)).orderBy(F.desc("w"), "term").limit(FIT_TERMS).collect()
+    return {r["term"]: [*r["g"], r["w"]] for r in rows}
+
+
 def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", subject: str = "subject", rounds: int = ROUNDS) -> DataFrame:
     """(key, subject): the areas of every document whose text isn't null or blank, one or more.
 
-    A document without any term that tells subjects apart gets none. Without labels, or without subjects, there are no
-    rows. Rows of one document id are one document; labels of unknown documents are ignored.
+    Labels that a document's own terms don't speak against are clamped: it passes them on in every round and has them in the
+    end, whatever its estimate. A document without any term that tells subjects apart has its labels, or no area where it
+    has none. Without labels, or without subjects, there are no rows. Rows of one document id are one document; labels of
+    unknown documents are ignored.
     """
     names = [r[0] for r in subjects.select(F.col(subject)).where(strip(F.col(subject)) != "").distinct().orderBy(subject).collect()]  # a fixed list of areas
     if not names:
@@ -180,31 +241,41 @@ def subject_areas(docs: DataFrame, labels: DataFrame, subjects: DataFrame, key:
     seeds = written(seeds.select(key, F.array(*[F.when(F.array_contains("_l", n), 1.0 / F.size("_l")).otherwise(0.0) for n in names]).alias("y")), "seeds")
 
     # First weights, from a bounded sample of labelled documents, so the driver holds a bounded model.
-    sample = seeds.orderBy(F.xxhash64(key), key).limit(FIT_ON)
-    # Its keys are broadcast: FIT_ON rows at most.
-    fit = written(term_counts(docs.join(F.broadcast(sample.select(key)), key, "left_semi"), key, text).join(sample.withColumnRenamed("y", "shares"), key), "fit")
-    first = {r["term"]: [*r["g"], r["w"]] for r in _term_model(_sums(fit, names), names, _base(fit, names)).collect()}
+    sample = written(seeds.orderBy(F.xxhash64(key), key).limit(FIT_ON), "sample")
+    labelled = written(docs.join(F.broadcast(sample.select(key)), key, "left_semi").select(key, text), "labelled")
+    fit = lambda foreign: written(term_counts(labelled, key, text, None, foreign).join(F.broadcast(sample.withColumnRenamed("y", "shares")), key), "fit")
+    foreign = foreign_words(labelled, sample, key, text, _fitted(fit(frozenset()), names))
+    first = _fitted(fit(foreign), names)
 
     # First estimates of all documents as their terms are counted; all terms then learn from all documents.
-    flat = written(term_counts(docs, key, text, first), "terms")
+    flat = written(term_counts(docs, key, text, first, foreign), "terms")
+    few = seeds.count() <= BROADCAST_SEEDS
+    held = written(flat.select(key, "q").join(F.broadcast(seeds) if few else seeds, key).select(key, _trusted(F.col("q"), F.col("y")).alias("y")).where(F.col("y").isNotNull()), "held")
     known = flat.where(F.col("q").isNotNull())
-    own = known.select("terms", "lf", _sharpened(F.col("q")).alias("shares"))
-    held = known.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds, key)  # of seeds, what clamping adds to their own estimates
-    held = held.select("terms", "lf", F.zip_with(_clamped(F.col("q"), F.col("y")), _sharpened(F.col("q")), lambda a, b: a - b).alias("shares"))
-    both = own.unionByName(held)
+    own = known.select("terms", "lf", _passed_on(F.col("q")).alias("shares"))
+    # Of seeds, what clamping adds to their own estimates.
+    more = flat.join(F.broadcast(held) if few else held, key)
+    none = F.array(*[F.lit(0.0)] * len(names))
+    more = more.select("terms", "lf", F.zip_with("y", F.coalesce(_passed_on(F.col("q")), none), lambda a, b: a - b).alias("shares"))
+    both = own.unionByName(more)
     model = written(_term_model(_sums(both, names), names, _base(both, names)), "model")
 
     # From here on only links through verified terms are carried.
     links = _links(flat, [key]).join(_small(model.select("term")), "term", "left_semi")
     links = written(links.groupBy(key).agg(F.collect_list(F.struct("term", "lf")).alias("_e")).select(key, F.col("_e.term").alias("terms"), F.col("_e.lf").alias("lf")), "links")
-    for _ in range(rounds - 1):
-        q = _estimate(_links(links, [key]), model, key, names).join(seeds, key, "left")
-        shares = links.join(q.select(key, _clamped(F.col("q"), F.col("y")).alias("shares")), key)
-        shares = written(shares, "shares")
-        model = written(_term_model(_sums(shares, names), names, _base(shares, names)), "model")
-    q = _estimate(_links(links, [key]), model, key, names).join(seeds, key, "left")
+    before, n = None, links.count()
+    for _ in range(rounds):
+        q = written(_estimate(_links(links, [key]), model, key, names), "q")
+        if before is not None:
+            kept = lambda c: F.transform(c, lambda x: x >= KEEP * F.array_max(c))
+            changed = q.join(before.withColumnRenamed("q", "_p"), key, "full").where(~kept(F.col("q")).eqNullSafe(kept(F.col("_p")))).count()
+            if changed <= SETTLED * n:
+                break
+        before = q
+        shares = q.join(held, key, "left").select(key, F.coalesce("y", _passed_on(F.col("q"))).alias("shares"))
+        shares = written(links.join(shares, key).drop(key), "shares")
+        model = written(_term_model(_sums_by_model(shares, model, names), names, _base(shares, names)), "model")
+    final = q.join(held, key, "full")
     label = F.array(*[F.lit(n) for n in names])
-    none = F.array(*[F.lit(0.0)] * len(names))
-    scored = q.select(key, F.array_max("q").alias("_top"), F.explode(F.arrays_zip(label.alias("s"), F.col("q").alias("x"), F.coalesce("y", none).alias("y"))).alias("_z"))
-    ok = (F.col("_z.x") >= KEEP * F.col("_top")) | ((F.col("_z.y") > 0) & (F.col("_z.x") >= TRUSTED * F.col("_top")))
-    return scored.where(ok).select(key, F.col("_z.s").alias(subject))
+    scored = final.select(key, F.array_max("q").alias("_top"), F.explode(F.arrays_zip(label.alias("s"), F.coalesce("q", none).alias("x"), F.coalesce("y", none).alias("y"))).alias("_z"))
+    return scored.where((F.col("_z.x") >= KEEP * F.col("_top")) | (F.col("_z.y") > 0)).select(key, F.col("_z.s").alias(subject))

@@ -277,19 +277,32 @@ def test_subjects(spark):
     assert subjects.subject_areas(d.limit(0), lab, sub).count() == 0
 
 
-def test_sentences_of_comparison():
-    """Every template that names another area's term goes, also scanned badly, with odd white space or between tags; nothing else does."""
-    apart = [
-        "By way of comparison only, a wing flap is not suited here.", "[0013] By way  of comparisori only, a wing flap is n0t suited here.", "By way of comparison\u00a0only, a wing flap is not  suited here.",
-        "The word wing flap is not used here in the sense it has for a rotor hub.", "The word wing flap is riot used here in the sense  it has for a rotor hub.", "The word wing flap is n0t used here in the sense it has for a rotor hub.",
-        "Unrelated fields such as that of the wing flap have long used a rotor hub, but nothing there carries over to the present problem.",
-    ]
-    own = ["The stent is connected to the catheter by way of a bed.", "Unlike earlier proposals, no stent is needed here.", "In step S1, the stent is compared with a threshold."]
-    for s in apart:
-        for join in (" ", "\n", "<br/>"):
-            left = subjects.own_text(join.join([own[0], s, *own[1:]]))
-            assert "flap" not in left and "rotor" not in left and all(o.rstrip(".") in left for o in own)
-    assert subjects.own_text(" ".join(own)) == " ".join(own)
+def test_sentences_of_comparison_are_learnt(spark):
+    """Sentences that name another subject only to set the document apart, in wordings that no list has and badly scanned."""
+    r = random.Random(9)
+    terms = {"bells": "clapper yoke belfry foundry".split(), "boats": "keel rudder transom oarlock".split(), "bees": "hive comb brood smoker".split()}
+    usual = ["The {t} is joined to the {u} by a pin.", "A {t} of this kind has been in use for years.", "Behind the {t}\u00a0 lies a {u}, as shown.", "It was found that the {t} wears less"]
+    apart = ["Quite unlike our matter, makers of a {t} proceed otherwise.", "Quite  unl1ke our matter, rnakers of a {t} proceed otherwise!", "Makers of a {t} proceed otherwise\u00a0, unlike us;"]
+    docs, labels, truth = [], [], {}
+    for i in range(400):
+        area = r.choice(sorted(terms))
+        other = r.choice([a for a in sorted(terms) if a != area])
+        pick = lambda a: r.choice(terms[a])
+        text = [r.choice(usual).format(t=pick(area), u=pick(area)) for _ in range(5)] + [r.choice(apart).format(t=pick(other)) for _ in range(3 * (i % 2))]
+        r.shuffle(text)
+        docs.append((i, r.choice([" ", "\n", "<br/>"]).join(x + ("." if not x.endswith((".", "!")) else "") for x in text)))
+        truth[i] = {area}
+        if i % 4 < 2:
+            labels.append((i, area))
+    labels.append((500, "bees"))
+    docs += [(500, "zzz"), (501, "yyy yyy")]  # a seed without any telling term, and such a document without a label
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    got: dict = {}
+    for x in subjects.subject_areas(d, lab, spark.createDataFrame([(a,) for a in terms], "subject string")).collect():
+        got.setdefault(x.doc_id, set()).add(x.subject)
+    assert sum(got.get(i) == t for i, t in truth.items()) / len(truth) > 0.97
+    assert got[500] == {"bees"} and 501 not in got
+    assert subjects.own_text("A keel here. Unlike a hive. More\nof it", frozenset({"unlike"})) == "A keel here.\nMore\nof it"
 
 
 def test_partial_rows_and_joint_dependents(spark):
