@@ -41,35 +41,46 @@ def _heavy_keys(per_key: DataFrame, share: float) -> list[int]:
 
 
 def _parents(parent: DataFrame, ref: Reference) -> DataFrame:
-    return parent.where(F.col(ref.parent_key).isNotNull()).groupBy(F.col(ref.parent_key).cast("long").alias("_key")).agg(F.min(ref.created).alias("_born"), F.lit(True).alias("_there"))
+    return parent.where(F.col(ref.parent_key).isNotNull()).groupBy(F.col(ref.parent_key).cast("long").alias("_key")).agg(F.min(ref.created).alias("_born"))
 
 
-def _split_join(left: DataFrame, parents: DataFrame, heavy: list[int]) -> DataFrame:
-    """Heavy keys meet their few parents by broadcast; all other keys, none of them large, by a shuffle on the key."""
-    light = left.where(~F.col("_key").isin(heavy)) if heavy else left
-    out = light.join(parents, "_key", "left")
-    if heavy:
-        few = F.broadcast(parents.where(F.col("_key").isin(heavy)))  # at most 1 / HEAVY_SHARE rows
-        out = out.unionByName(left.where(F.col("_key").isin(heavy)).join(few, "_key", "left"))
-    return out
+def _split_join(left: DataFrame, right: DataFrame, heavy: list[int], how: str) -> DataFrame:
+    """Heavy keys meet their few rows of the right side by broadcast; all other keys, none of them large, by a shuffle on
+    the key. ``right`` has one row per key."""
+    if not heavy:
+        return left.join(right, "_key", how)
+    of = lambda df: df.where(F.col("_key").isin(heavy))
+    light = left.where(~F.col("_key").isin(heavy)).join(right.where(~F.col("_key").isin(heavy)), "_key", how)
+    return light.unionByName(of(left).join(F.broadcast(of(right)), "_key", how))  # at most 1 / HEAVY_SHARE rows
 
 
-def _state() -> Column:
-    return F.when(F.col("_there").isNull(), "missing").when(F.col("_born") > F.col("_at"), "late")
+def _broken_keys(groups: DataFrame, parents: DataFrame, heavy: list[int]) -> DataFrame:
+    """(_key, _born, state) of keys that some reference names in vain: whose parent is missing, by an anti-join of the
+    pre-aggregated keys, or was created after the key's first reference."""
+    keys = groups.groupBy("_key").agg(F.min("first").alias("first"))
+    missing = _split_join(keys, parents, heavy, "left_anti").select("_key", F.lit(None).cast("timestamp").alias("_born"), F.lit("missing").alias("state"))
+    late = _split_join(keys, parents, heavy, "inner").where(F.col("_born") > F.col("first")).select("_key", F.col("_born").cast("timestamp").alias("_born"), F.lit("late").alias("state"))
+    return missing.unionByName(late)
+
+
+def _pre_aggregated(child: DataFrame, parent: DataFrame, ref: Reference, heavy_share: float) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """References, their groups by key and period, the broken keys and the heavy ones."""
+    refs = _refs(child, ref).withColumn("period", _period(F.col("_at")))
+    groups = refs.groupBy("_key", "period").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
+    heavy = _heavy_keys(groups, heavy_share)
+    return refs, groups, _broken_keys(groups, _parents(parent, ref), heavy), heavy
 
 
 def broken_references(child: DataFrame, parent: DataFrame, ref: Reference, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """One row (child_table, child_field, child_id, state, period) per broken reference.
 
+    References are pre-aggregated by key and period, the keys checked, and only references of broken keys looked up again.
     Null references are none; a parent that is there more than once counts from its first creation; where either time is
     null nothing is late; period is '' where the child's time is null. Empty tables: no child, no rows; no parent, all missing.
     """
-    refs = _refs(child, ref)
-    heavy = _heavy_keys(refs.groupBy("_key").agg(F.count("*").alias("n")), heavy_share)
-    found = _split_join(refs, _parents(parent, ref), heavy).withColumn("state", _state()).where(F.col("state").isNotNull())
-    return found.select(
-        F.lit(ref.child_table).alias("child_table"), F.lit(ref.child_field).alias("child_field"), "child_id", "state", _period(F.col("_at")).alias("period")
-    )
+    refs, _, broken, heavy = _pre_aggregated(child, parent, ref, heavy_share)
+    found = _split_join(refs, broken, heavy, "inner").where((F.col("state") == "missing") | (F.col("_born") > F.col("_at")))
+    return found.select(F.lit(ref.child_table).alias("child_table"), F.lit(ref.child_field).alias("child_field"), "child_id", "state", "period")
 
 
 def orphan_report(child: DataFrame, parent: DataFrame, ref: Reference, heavy_share: float = HEAVY_SHARE) -> DataFrame:
@@ -78,17 +89,16 @@ def orphan_report(child: DataFrame, parent: DataFrame, ref: Reference, heavy_sha
     A (key, period) group whose parent was created in another month is late as a whole or not at all; only groups of the
     parent's own month are looked at reference by reference.
     """
-    refs = _refs(child, ref).withColumn("period", _period(F.col("_at")))
-    groups = refs.groupBy("_key", "period").agg(F.count("*").alias("n"))
-    joined = _split_join(groups, _parents(parent, ref), _heavy_keys(groups, heavy_share)).withColumn("_month", _period(F.col("_born")))
-    own = joined.where(F.col("_month") == F.col("period")).select("_key", "period", "_born")
-    within = refs.join(own, ["_key", "period"]).groupBy("period").agg(F.count_if(F.col("_born") > F.col("_at")).alias("n_late"))
-    whole = joined.select(
-        "period", F.col("n").alias("n_references"), F.when(F.col("_there").isNull(), F.col("n")).otherwise(0).alias("n_missing"),
-        F.when((F.col("_month") > F.col("period")) & (F.col("period") != ""), F.col("n")).otherwise(0).alias("n_late"),
+    refs, groups, broken, heavy = _pre_aggregated(child, parent, ref, heavy_share)
+    month = _period(F.col("_born"))
+    whole = _split_join(groups, broken, heavy, "inner").select(
+        "period", F.lit(0).alias("n_references"), F.when(F.col("state") == "missing", F.col("n")).otherwise(0).alias("n_missing"),
+        F.when((F.col("state") == "late") & (month > F.col("period")) & (F.col("period") != ""), F.col("n")).otherwise(0).alias("n_late"),
     )
-    counts = whole.unionByName(within.select("period", F.lit(0).alias("n_references"), F.lit(0).alias("n_missing"), "n_late"))
-    total = counts.groupBy("period").agg(*[F.sum(c).alias(c) for c in ("n_references", "n_missing", "n_late")])
+    own = _split_join(refs, broken.where(F.col("state") == "late"), heavy, "inner").where((month == F.col("period")) & (F.col("_born") > F.col("_at")))
+    within = own.groupBy("period").agg(F.count("*").alias("n_late")).select("period", F.lit(0).alias("n_references"), F.lit(0).alias("n_missing"), "n_late")
+    all_ = groups.select("period", F.col("n").alias("n_references"), F.lit(0).alias("n_missing"), F.lit(0).alias("n_late"))
+    total = all_.unionByName(whole).unionByName(within).groupBy("period").agg(*[F.sum(c).alias(c) for c in ("n_references", "n_missing", "n_late")])
     return total.select(F.lit(ref.child_table).alias("child_table"), F.lit(ref.child_field).alias("child_field"), "period", "n_references", "n_missing", "n_late")
 
 

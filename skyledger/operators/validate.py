@@ -54,10 +54,11 @@ def quarantine(df: DataFrame, rules: list[Rule], mode: str = "quarantine") -> tu
     return marked.where(F.size("errors") == 0).drop("errors"), marked.where(F.size("errors") > 0)
 
 
-def first_writer(df: DataFrame, code: str, order: list[str]) -> Column:
-    """Whether the row is the first of its code, case aside; rows without a code don't compete."""
+def first_writer(df: DataFrame, code: str, order: list[str], out: str = "accepted") -> DataFrame:
+    """Adds whether the row is the first of its code, case aside; rows without a code don't compete, and meet in no window."""
     rn = F.row_number().over(W.partitionBy(F.lower(code)).orderBy(*order))
-    return ~present(code) | (rn == 1)
+    competing = df.where(present(code)).withColumn(out, rn == 1)
+    return competing.unionByName(df.where(~present(code)).withColumn(out, F.lit(True)))
 
 
 def without_parent(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id", required: bool = True) -> DataFrame:
@@ -67,6 +68,7 @@ def without_parent(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id",
 
 
 def null_counts(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row: how many rows lack each of the required columns."""
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
 
 

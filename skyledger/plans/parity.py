@@ -373,7 +373,7 @@ def validate_aircraft(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT id, icao_code, icao_code IS NULL OR trim(icao_code) = '' OR row_number() OVER (PARTITION BY lower(icao_code) ORDER BY id) = 1 AS accepted FROM operators")
 def unique_ci_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "operators")
-    return o.select("id", "icao_code", validate.first_writer(o, "icao_code", ["id"]).alias("accepted"))
+    return validate.first_writer(o.select("id", "icao_code"), "icao_code", ["id"])
 
 
 @query(f"""SELECT 'aircraft' AS importer_type, count(*) AS records_processed, count(*) FILTER (NOT (coalesce(regexp_full_match(icao, '[0-9a-fA-F]{{6}}'), false) AND coalesce(regexp_matches(registration, '{registrations.registration_pattern()}'), false) AND trim(coalesce(serial_number, '')) <> '' AND trim(coalesce(owner, '')) <> ''
