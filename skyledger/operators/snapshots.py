@@ -26,19 +26,22 @@ def cells(data: Column) -> Column:
     return F.concat(F.array(F.named_struct(F.lit("field"), F.lit(PRESENCE), F.lit("value"), F.lit(PRESENCE))), entries)
 
 
-def snapshot_changes(rows: DataFrame, series: list[str], snapshot: str, record: str, data: str) -> DataFrame:
+def snapshot_changes(rows: DataFrame, series: list[str], snapshot: str, record: str, data: str, calendar: DataFrame | None = None) -> DataFrame:
     """(*series, snapshot, record, change_kind, changed_fields) of every record that differs from the preceding snapshot.
 
     ``rows`` hold one row per series, snapshot and record, ``data`` a map<string,string>. Each cell of a record enters its
-    own snapshot with +1 and the next one of its series with -1; what doesn't cancel out has changed. A series' first
-    snapshot has no predecessor and yields nothing; rows with a null snapshot or record are left out; a null map is a
-    record without members; members that are null or blank are absent ones.
+    own snapshot with +1 and the next one of its series with -1; what doesn't cancel out has changed. Records whose cells
+    are all the same cancel out as a whole, before they are unpivoted. ``calendar`` lists the snapshots (series, snapshot)
+    where that is cheaper than to read them from ``rows``. A series' first snapshot has no predecessor and yields nothing;
+    rows with a null snapshot or record are left out; a null map is a record without members; members that are null or
+    blank are absent ones.
     """
     base = rows.where(F.col(snapshot).isNotNull() & F.col(record).isNotNull()).select(*series, snapshot, record, data)
     w = W.partitionBy(*series).orderBy(snapshot)
-    calendar = base.select(*series, snapshot).distinct().select(*series, snapshot, F.lead(snapshot).over(w).alias("_next"), F.lag(snapshot).over(w).isNull().alias("_first"))
-    if calendar.count() <= BROADCAST_SNAPSHOTS:
-        calendar = F.broadcast(calendar)
+    listed = (base if calendar is None else calendar.where(F.col(snapshot).isNotNull())).select(*series, snapshot).distinct()
+    dates = listed.select(*series, snapshot, F.lead(snapshot).over(w).alias("_next"), F.lag(snapshot).over(w).isNull().alias("_first"))
+    if listed.count() <= BROADCAST_SNAPSHOTS:
+        dates = F.broadcast(dates)
     signed = F.filter(
         F.array(
             F.struct(F.when(~F.col("_first"), F.col(snapshot)).alias("at"), F.lit(1).alias("sign")),
@@ -47,14 +50,20 @@ def snapshot_changes(rows: DataFrame, series: list[str], snapshot: str, record:
         lambda s: s["at"].isNotNull(),
     )
     key = [*series, snapshot, record]
-    unpivoted = (
-        base.join(calendar, [*series, snapshot])
-        .select(*series, record, F.explode(signed).alias("_s"), cells(F.col(data)).alias("_c"))
+    side = lambda sign: F.first(F.when(F.col("_sign") == sign, F.col("_c")), ignorenulls=True)
+    met = (
+        base.join(dates, [*series, snapshot])
+        .select(*series, record, F.array_sort(cells(F.col(data))).alias("_c"), signed.alias("_at"))
+        .select(*series, record, "_c", F.explode("_at").alias("_s"))
         .select(*series, F.col("_s.at").alias(snapshot), record, F.col("_s.sign").alias("_sign"), "_c")
-        .repartition(*key)  # the one shuffle: both sums below find their groups in place
-        .select(*key, "_sign", F.inline("_c"))
-    )
-    summed = unpivoted.groupBy(*key, "field", "value").agg(F.sum("_sign").alias("n")).where(F.col("n") != 0)
+        .repartition(*key)  # the one shuffle: all sums below find their groups in place
+        .groupBy(*key).agg(side(1).alias("_now"), side(-1).alias("_then"))
+        .where(~F.col("_now").eqNullSafe(F.col("_then")))
+    )
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    sign = lambda c, n: F.transform(F.coalesce(c, none), lambda e: F.named_struct(F.lit("field"), e["field"], F.lit("value"), e["value"], F.lit("sign"), F.lit(n)))
+    unpivoted = met.select(*key, F.inline(F.concat(sign(F.col("_now"), 1), sign(F.col("_then"), -1))))
+    summed = unpivoted.groupBy(*key, "field", "value").agg(F.sum("sign").alias("n")).where(F.col("n") != 0)
     marker = F.max(F.when(F.col("field") == PRESENCE, F.col("n")))
     return (
         summed.groupBy(*key)

@@ -56,8 +56,14 @@ def _source_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.latest_rows(rows, ["source_table", "source_type", "snapshot", "record_ref"], ["import_date", "id"])
 
 
+def _calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """All snapshots of both source tables, from two columns: a snapshot is all rows of a type in a month."""
+    parts = [table(spark, sf, n).select(F.lit(n).alias("source_table"), F.col("type").alias("source_type"), F.date_format("import_date", "yyyy-MM").alias("snapshot")) for n in ("operator_sources", "country_sources")]
+    return references.union_all(parts)
+
+
 def _changes(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.snapshot_changes(_source_snapshots(spark, sf), ["source_table", "source_type"], "snapshot", "record_ref", "data")
+    return snapshots.snapshot_changes(_source_snapshots(spark, sf), ["source_table", "source_type"], "snapshot", "record_ref", "data", _calendar(spark, sf))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
