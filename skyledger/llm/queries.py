@@ -36,7 +36,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Every candidate pair with its confidence."""
+    """Every mutual candidate pair with its confidence."""
     return matching.match_operators(table(spark, sf, "operator_sources"), table(spark, sf, "operators")).select("source_id", "operator_id", F.round("confidence", 4).alias("confidence"))
 
 
@@ -69,6 +69,19 @@ v AS (SELECT * EXCLUDE d, trim(json_extract_string(d, '$.' || field_name)) AS v
 o AS (SELECT * FROM v WHERE v IS NOT NULL AND CASE WHEN field_name = 'iata_code' THEN regexp_full_match(v, '[A-Za-z0-9]{{2}}') WHEN lower(v) IN ({_FILL}) THEN false
  WHEN field_name = 'icao_code' THEN regexp_full_match(v, '[A-Za-z]{{3}}') WHEN field_name = 'fleet_size' THEN coalesce(TRY_CAST(v AS DOUBLE) <> 0, true) ELSE true END)
 """
+_TOP = "trust DESC, import_date DESC NULLS LAST, id"
+_WIDE = ", ".join(f"max(o.v) FILTER (o.field_name = '{f}') AS {f}" for f in survivors.OPERATOR_FIELDS)
+_BUNDLES = f"""{_RAW}, w AS (SELECT n.group_id, g.aoc AS certificate, g.id, g.trust, g.import_date, {_WIDE} FROM g JOIN n USING (aoc) LEFT JOIN o ON o.id = g.id GROUP BY ALL),
+c AS (SELECT group_id, id, f FROM (SELECT *, (icao_code IS NOT NULL)::INT + (iata_code IS NOT NULL)::INT AS f FROM w) WHERE f > 0 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY f DESC, {_TOP}) = 1),
+h AS (SELECT group_id, id FROM (SELECT *, (head_office IS NOT NULL)::INT + (fleet_size IS NOT NULL)::INT AS f FROM w) WHERE f > 0 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY f DESC, {_TOP}) = 1),
+s AS (SELECT group_id, id FROM w WHERE callsign IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY {_TOP}) = 1),
+t AS (SELECT group_id, id FROM w WHERE name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY {_TOP}) = 1),
+k AS (SELECT group_id, first(id ORDER BY {_TOP}) AS a_id, first(import_date ORDER BY {_TOP}) AS a_at, max(trust) AS a_t, first(id ORDER BY {_TOP}) FILTER (callsign IS NOT NULL) AS b_id, max(trust) FILTER (callsign IS NOT NULL) AS b_t
+ FROM w WHERE icao_code IS NOT NULL AND iata_code IS NOT NULL GROUP BY group_id, icao_code, iata_code),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY a_t + coalesce(b_t, -1) DESC, a_t DESC, a_at DESC NULLS LAST, a_id) = 1)
+SELECT certificate, group_id, CASE WHEN c.f = 2 THEN b.a_id ELSE c.id END AS codes, CASE WHEN c.f = 2 THEN b.b_id ELSE s.id END AS callsign, t.id AS name, h.id AS base
+FROM (SELECT DISTINCT certificate, group_id FROM w) LEFT JOIN c USING (group_id) LEFT JOIN b USING (group_id) LEFT JOIN s USING (group_id) LEFT JOIN t USING (group_id) LEFT JOIN h USING (group_id)"""
 SQL = {
+    "p1_bundles": _BUNDLES,
     "p1_found": _RAW + "SELECT group_id, field_name, id AS source_id FROM o QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust DESC, import_date DESC NULLS LAST, id) = 1",
 }

@@ -61,6 +61,14 @@ def _bind(rows: DataFrame, root: DataFrame, group: str, row_id: str, a: Bundle,
     values; a partial a decides nothing, so that no value that only other rows have is lost."""
     key = F.struct(*[F.col(f) for f in a.fields]).alias("_key")
     names = [b.name for b in following]
+    # Where one row is the best of all these bundles, or a isn't complete, the bound is reached: such groups don't branch.
+    top = F.col(f"_{a.name}")
+    one_row = F.lit(True)
+    for n in names:
+        one_row = one_row & (F.col(f"_{n}").isNull() | (F.col(f"_{n}.i") == top["i"]))
+    closed = top.isNull() | (top["f"] < len(a.fields)) | F.coalesce(one_row, F.lit(False))
+    everyone, root = root, root.where(~closed)
+    rows = rows.join(root.select(group), group, "left_semi")
     branches = rows.where((_filled(a) == len(a.fields)) & F.col(group).isNotNull()).groupBy(F.col(group), key).agg(F.max(rank[a.name]).alias("_a"), *[F.max(rank[n]).alias(f"_b_{n}") for n in names])
     at = root.select(group, F.col(f"_{a.name}").alias("_top"), *[F.col(f"_most_{n}") for n in names])
     none = F.lit(-1).cast("long")
@@ -78,7 +86,7 @@ def _bind(rows: DataFrame, root: DataFrame, group: str, row_id: str, a: Bundle,
     out = root.join(best, group, "left").withColumn(f"_{a.name}", F.coalesce(F.col("_won._a"), F.col(f"_{a.name}")))
     for n in names:
         out = out.withColumn(f"_{n}", F.when(F.col("_won").isNotNull(), F.col(f"_won._b_{n}")).otherwise(F.col(f"_{n}")))
-    return out.drop("_won")
+    return everyone.where(closed).unionByName(out.drop("_won").select(*everyone.columns))
 
 
 #: Members that a surviving operator is made of.
