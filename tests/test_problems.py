@@ -76,9 +76,9 @@ def line(i, day, pk, f, t, name="N", c3="AAA", c2=None, key=None):
     return (i, T(2023, 1, day), pk, key or pk.rsplit("-v", 1)[0], pk.rsplit("-v", 1)[1], f, t, name, c3, c2, 7)
 
 
-def chains(spark, lines, delivered=False, long=None):
+def chains(spark, lines, delivered=False):
     df = spark.createDataFrame(lines, LINE)
-    h = history.delivered_history(df) if delivered else history.airline_history(df, long)
+    h = history.delivered_history(df) if delivered else history.airline_history(df)
     return sorted((r.chain, str(r.valid_from or ""), str(r.valid_to or ""), r.name) for r in h.collect())
 
 
@@ -94,7 +94,7 @@ WANT = [
 
 
 def test_history(spark):
-    assert chains(spark, LINES) == WANT and chains(spark, LINES, long=True) == WANT
+    assert chains(spark, LINES) == WANT
     assert chains(spark, LINES, delivered=True) == WANT
     assert chains(spark, LINES[9:10]) == [] and chains(spark, LINES[9:10], delivered=True) == []
 
@@ -109,7 +109,7 @@ def test_untouched_chains_are_passed_through(spark):
 
 def test_long_chain_across_years(spark):
     lines = [line(i, 1, f"air-z-v{i + 1}", f"{1900 + i}-07-01", f"{1901 + i}-06-30", f"N{i // 3}") for i in range(60)]
-    got = chains(spark, lines, long=True)
+    got = chains(spark, lines)
     assert got == chains(spark, lines)
     assert len(got) == 20 and got[0] == ("air-z", "1900-07-01", "1903-06-30", "N0")
 
