@@ -72,9 +72,9 @@ def first_load_expiry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT id, CASE WHEN status >= 0 AND status < 6 THEN ['active', 'withdrawn', 'hull_loss', 'scrapped', 'stored', 'written_off'][status + 1] END AS status_name,
- 'VH-' || regexp_replace(registration, '^VH-', '') AS prefixed FROM aircraft WHERE registration LIKE 'VH-%' OR status IS NULL OR status > 3""")
+ 'VH-' || regexp_replace(registration, '^VH-', '') AS prefixed FROM aircraft""")
 def enum_decode(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "aircraft").where(F.col("registration").startswith("VH-") | F.col("status").isNull() | (F.col("status") > 3))
+    a = table(spark, sf, "aircraft")
     labels = list(STATUSES)
     return a.select("id", scalars.decode(F.col("status"), labels).alias("status_name"), scalars.with_prefix(F.regexp_replace("registration", "^VH-", ""), "VH-").alias("prefixed"))
 
@@ -178,21 +178,22 @@ def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.last_wins(s.where(F.col("match_key").isNotNull()), ["type", "match_key"], ["import_date", "id"]).select("type", "match_key", "id")
 
 
-_COUNTRY_SIDE = """SELECT upper(trim(iso_2char_code)) AS iso2, name, capital, iso_3char_code, import_date FROM country_sources WHERE type = 'OpenTravelCountrySource' AND trim(iso_2char_code) <> '' AND import_date {op} TIMESTAMP '2024-05-01'
- QUALIFY row_number() OVER (PARTITION BY upper(trim(iso_2char_code)) ORDER BY import_date DESC, id DESC) = 1"""
+_COUNTRY_SIDES = """SELECT type, upper(trim(iso_2char_code)) AS iso2, name, capital, iso_3char_code, import_date FROM country_sources WHERE trim(iso_2char_code) <> '' AND import_date {op} TIMESTAMP '2024-05-01'
+ QUALIFY row_number() OVER (PARTITION BY type, upper(trim(iso_2char_code)) ORDER BY import_date DESC, id DESC) = 1"""
 
 
-@query(f"""WITH c AS ({_COUNTRY_SIDE.format(op='<')}), b AS ({_COUNTRY_SIDE.format(op='>=')})
-SELECT iso2, CASE WHEN b.iso2 IS NULL THEN c.name ELSE b.name END AS name, CASE WHEN b.iso2 IS NULL THEN c.capital ELSE b.capital END AS capital, CASE WHEN b.iso2 IS NULL THEN c.iso_3char_code ELSE b.iso_3char_code END AS iso_3char_code,
+@query(f"""WITH c AS ({_COUNTRY_SIDES.format(op='<')}), b AS ({_COUNTRY_SIDES.format(op='>=')})
+SELECT type, iso2, CASE WHEN b.iso2 IS NULL THEN c.name ELSE b.name END AS name, CASE WHEN b.iso2 IS NULL THEN c.capital ELSE b.capital END AS capital, CASE WHEN b.iso2 IS NULL THEN c.iso_3char_code ELSE b.iso_3char_code END AS iso_3char_code,
  strftime(CASE WHEN outcome IN ('inserted', 'updated') THEN TIMESTAMP '2024-09-01' ELSE c.import_date END, '%Y-%m-%d %H:%M:%S') AS import_date, outcome
-FROM (SELECT coalesce(c.iso2, b.iso2) AS iso2, c, b, CASE WHEN b.iso2 IS NULL THEN 'kept' WHEN c.iso2 IS NULL THEN 'inserted' WHEN c.name IS NOT DISTINCT FROM b.name AND c.capital IS NOT DISTINCT FROM b.capital AND c.iso_3char_code IS NOT DISTINCT FROM b.iso_3char_code THEN 'unchanged' ELSE 'updated' END AS outcome
- FROM c FULL JOIN b ON c.iso2 = b.iso2)""")
+FROM (SELECT coalesce(c.type, b.type) AS type, coalesce(c.iso2, b.iso2) AS iso2, c, b, CASE WHEN b.iso2 IS NULL THEN 'kept' WHEN c.iso2 IS NULL THEN 'inserted' WHEN c.name IS NOT DISTINCT FROM b.name AND c.capital IS NOT DISTINCT FROM b.capital AND c.iso_3char_code IS NOT DISTINCT FROM b.iso_3char_code THEN 'unchanged' ELSE 'updated' END AS outcome
+ FROM c FULL JOIN b ON c.type = b.type AND c.iso2 = b.iso2)""")
 def upsert_merge_changed(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "country_sources").where("type = 'OpenTravelCountrySource'").select(F.upper(F.trim("iso_2char_code")).alias("iso2"), "name", "capital", "iso_3char_code", "import_date", "id").where(F.col("iso2") != "")
+    key = F.struct("type", F.upper(F.trim("iso_2char_code")).alias("iso2")).alias("key")
+    s = table(spark, sf, "country_sources").select(key, "name", "capital", "iso_3char_code", "import_date", "id").where("key.iso2 <> ''")
     cut = F.lit("2024-05-01").cast("timestamp")
-    side = lambda c: upsert.last_wins(s.where(c), ["iso2"], ["import_date", "id"]).drop("id")
-    m = upsert.merge(side(F.col("import_date") < cut), side(F.col("import_date") >= cut), "iso2", ["name", "capital", "iso_3char_code"], "import_date", F.lit("2024-09-01").cast("timestamp"))
-    return m.withColumn("import_date", F.date_format("import_date", "yyyy-MM-dd HH:mm:ss"))
+    side = lambda c: upsert.last_wins(s.where(c), ["key"], ["import_date", "id"]).drop("id")
+    m = upsert.merge(side(F.col("import_date") < cut), side(F.col("import_date") >= cut), "key", ["name", "capital", "iso_3char_code"], "import_date", F.lit("2024-09-01").cast("timestamp"))
+    return m.select("key.type", "key.iso2", "name", "capital", "iso_3char_code", F.date_format("import_date", "yyyy-MM-dd HH:mm:ss").alias("import_date"), "outcome")
 
 
 _PAIR_SQL = """CASE WHEN i IS NOT NULL AND a IS NOT NULL THEN concat_ws('|', 'b', i, a) WHEN i IS NOT NULL THEN concat_ws('|', 'i', i, name) WHEN a IS NOT NULL THEN concat_ws('|', 'a', a, name) END"""
@@ -217,63 +218,109 @@ def upsert_gated(spark: SparkSession, sf: str) -> DataFrame:
 # Joins and resolution
 
 
-def _side(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    """A source's records of January 2024 in plain letters."""
-    s = table(spark, sf, "operator_sources").where((F.col("type") == kind) & (F.date_format("import_date", "yyyy-MM") == "2024-01"))
-    return s.select("id", F.regexp_replace("name", "[^ -~]", "").alias("name"), scalars.null_if_blank(F.col("icao_code")).alias("icao_code"), scalars.null_if_blank(F.col("iata_code")).alias("iata_code"))
+_REF_SQL = "trim((CASE WHEN json_type(CAST(data AS JSON)) = 'VARCHAR' THEN CAST(CAST(data AS JSON) ->> '$' AS JSON) ELSE CAST(data AS JSON) END) ->> '$.source_ref')"
 
+_CURRENT_SQL = f"""s AS (SELECT id, type, name, {_blank('icao_code')} AS icao_code, {_blank('iata_code')} AS iata_code FROM (SELECT *, {_REF_SQL} AS ref FROM operator_sources)
+ QUALIFY row_number() OVER (PARTITION BY type, CASE WHEN coalesce(ref, '') <> '' THEN 'r' || ref ELSE '#' || id END ORDER BY import_date DESC, id DESC) = 1),
+t AS (SELECT type, row_number() OVER (ORDER BY coalesce(max(trust), -1) DESC, type) AS rank FROM (SELECT DISTINCT type FROM operator_sources) LEFT JOIN source_types USING (type) GROUP BY type)"""
 
-def _side_sql(kind: str) -> str:
-    return f"SELECT id, regexp_replace(name, '[^ -~]', '', 'g') AS name, {_blank('icao_code')} AS icao_code, {_blank('iata_code')} AS iata_code FROM operator_sources WHERE type = '{kind}' AND strftime(import_date, '%Y-%m') = '2024-01'"
 
+def _current(spark: SparkSession, sf: str) -> DataFrame:
+    """The current row of each record (type and source_ref) over all months; a row without source_ref is a record of its own."""
+    s = table(spark, sf, "operator_sources").select("id", "type", "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
+    s = s.withColumn("record", F.when(F.coalesce("ref", F.lit("")) != "", F.concat(F.lit("r"), "ref")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))))
+    rows = latest_rows(s.drop("ref"), ["type", "record"], ["import_date", "id"])
+    return rows.select("id", "type", "name", scalars.null_if_blank(F.col("icao_code")).alias("icao_code"), scalars.null_if_blank(F.col("iata_code")).alias("iata_code"))
 
-_MERGE = f"""WITH v AS ({_side_sql('VRSDataOperatorSource')}), o AS ({_side_sql('OpenTravelOperatorSource')}),
-x AS (SELECT v.id AS l_id, min(o.id) AS r_id FROM v JOIN o ON o.name = v.name AND CASE WHEN v.icao_code IS NULL THEN o.iata_code = v.iata_code ELSE o.icao_code = v.icao_code END GROUP BY v.id),
-r AS (SELECT * FROM v WHERE id NOT IN (SELECT l_id FROM x)),
-cand AS (SELECT r.id AS l_id, r.icao_code AS li, o.id AS r_id, CASE WHEN r.icao_code IS NOT DISTINCT FROM o.icao_code AND r.iata_code IS NOT DISTINCT FROM o.iata_code THEN 1.0 ELSE jaro_winkler_similarity(r.name, o.name) END AS c
- FROM r JOIN o ON (r.icao_code IS NULL OR r.icao_code = o.icao_code) AND (r.iata_code IS NULL OR r.iata_code = o.iata_code) AND NOT (r.icao_code IS NULL AND r.iata_code IS NULL)),
-f AS (SELECT l_id, r_id FROM cand WHERE c >= CASE WHEN li IS NOT NULL THEN 0.5 ELSE 0.75 END QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY c DESC, r_id) = 1),
-m AS (SELECT * FROM x UNION ALL SELECT * FROM f),
-u AS (SELECT 1 AS phase, v.id AS src, coalesce(v.name, o.name) AS name, coalesce(v.icao_code, o.icao_code) AS icao_code, coalesce(v.iata_code, o.iata_code) AS iata_code FROM v LEFT JOIN m ON m.l_id = v.id LEFT JOIN o ON o.id = m.r_id
- UNION ALL SELECT 2, id, name, icao_code, iata_code FROM o WHERE id NOT IN (SELECT r_id FROM m)),
-e AS (SELECT *, concat_ws(', ', CASE WHEN trim(coalesce(name, '')) = '' THEN 'name' END, CASE WHEN icao_code IS NOT NULL AND NOT regexp_full_match(icao_code, '[A-Z0-9]{{3}}') THEN 'icao_code' END, CASE WHEN iata_code IS NOT NULL AND NOT regexp_full_match(iata_code, '[A-Z0-9]{{2}}') THEN 'iata_code' END) AS errors FROM u),
-k AS (SELECT *, icao_code IS NULL OR row_number() OVER (PARTITION BY lower(icao_code) ORDER BY phase, src) = 1 AS first_one FROM e WHERE errors = '')
-"""
 
+def _sides(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
+    """(type, its current rows), the most trusted type first; a type without known trust last."""
+    kinds = table(spark, sf, "operator_sources").select("type").distinct().join(table(spark, sf, "source_types"), "type", "left")
+    order = kinds.groupBy("type").agg(F.coalesce(F.max("trust"), F.lit(-1)).alias("trust")).orderBy(F.desc("trust"), "type").collect()  # a fixed list of types
+    rows = _current(spark, sf)
+    return [(r["type"], rows.where(F.col("type") == r["type"]).drop("type")) for r in order]
 
-@query(_MERGE + "SELECT phase, src, name, icao_code, iata_code, CASE WHEN first_one THEN '' ELSE 'icao_code taken' END AS errors FROM k UNION ALL SELECT phase, src, name, icao_code, iata_code, errors FROM e WHERE errors <> ''")
+
+def _of_pairs(spark: SparkSession, sf: str, f) -> DataFrame:
+    """f(left, right) of every two types, the more trusted one at the left, with both types."""
+    sides, out = _sides(spark, sf), None
+    for i, (a, left) in enumerate(sides):
+        for b, right in sides[i + 1 :]:
+            one = f(left, right).select(F.lit(a).alias("l_type"), F.lit(b).alias("r_type"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+#: Every character beyond ASCII that names hold, and a control character for each: DuckDB measures likeness by bytes, so
+#: each character is made one byte, as the operators count by code points.
+_ONE_BYTE = """z AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS f, coalesce(string_agg(chr(n::INT), '' ORDER BY c), '') AS t FROM (SELECT c, CASE WHEN n < 9 THEN n WHEN n < 11 THEN n + 2 ELSE n + 3 END AS n FROM (
+ SELECT c, row_number() OVER (ORDER BY c) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(name, '[^\\x00-\\x7F]')) AS c FROM (SELECT name FROM operator_sources UNION ALL SELECT name FROM operators)))))"""
+
+
+def _merge_step(k: int) -> str:
+    """One more source (the k-th by trust) merged into the rows accepted so far."""
+    return f"""r{k} AS (SELECT s.id, name, icao_code, iata_code FROM s JOIN t USING (type) WHERE rank = {k}),
+x{k} AS (SELECT v.id AS l_id, min(o.id) AS r_id FROM l{k} v JOIN r{k} o ON o.name = v.name AND CASE WHEN v.icao_code IS NULL THEN o.iata_code = v.iata_code ELSE o.icao_code = v.icao_code END GROUP BY v.id),
+d{k} AS (SELECT v.id AS l_id, v.icao_code AS li, o.id AS r_id, CASE WHEN v.icao_code IS NOT DISTINCT FROM o.icao_code AND v.iata_code IS NOT DISTINCT FROM o.iata_code THEN 1.0 ELSE jaro_winkler_similarity(translate(v.name, f, z.t), translate(o.name, f, z.t)) END AS c
+ FROM l{k} v JOIN r{k} o ON (v.icao_code IS NULL OR v.icao_code = o.icao_code) AND (v.iata_code IS NULL OR v.iata_code = o.iata_code) AND NOT (v.icao_code IS NULL AND v.iata_code IS NULL), z WHERE v.id NOT IN (SELECT l_id FROM x{k})),
+m{k} AS (SELECT * FROM x{k} UNION ALL SELECT l_id, r_id FROM (SELECT l_id, r_id, c FROM d{k} WHERE c >= CASE WHEN li IS NOT NULL THEN 0.5 ELSE 0.75 END QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY c DESC, r_id) = 1)),
+u{k} AS (SELECT 1 AS part, v.phase, v.id, coalesce(v.name, o.name) AS name, coalesce(v.icao_code, o.icao_code) AS icao_code, coalesce(v.iata_code, o.iata_code) AS iata_code FROM l{k} v LEFT JOIN m{k} m ON m.l_id = v.id LEFT JOIN r{k} o ON o.id = m.r_id
+ UNION ALL SELECT 2, {k}, * FROM r{k} WHERE id NOT IN (SELECT r_id FROM m{k})),
+e{k} AS (SELECT *, concat_ws(', ', CASE WHEN trim(coalesce(name, '')) = '' THEN 'name' END, CASE WHEN icao_code IS NOT NULL AND NOT regexp_full_match(icao_code, '[A-Z0-9]{{3}}') THEN 'icao_code' END, CASE WHEN iata_code IS NOT NULL AND NOT regexp_full_match(iata_code, '[A-Z0-9]{{2}}') THEN 'iata_code' END) AS errors FROM u{k}),
+q{k} AS (SELECT * REPLACE (CASE WHEN errors = '' AND icao_code IS NOT NULL AND row_number() OVER (PARTITION BY errors = '', lower(icao_code) ORDER BY part, id) > 1 THEN 'icao_code taken' ELSE errors END AS errors) FROM e{k}),
+l{k + 1} AS (SELECT phase, id, name, icao_code, iata_code FROM q{k} WHERE errors = '')"""
+
+
+_OUT = "phase, id AS src, name, icao_code, iata_code, errors"
+
+
+@query(f"""WITH {_CURRENT_SQL}, {_ONE_BYTE}, l2 AS (SELECT 1 AS phase, s.id, name, icao_code, iata_code FROM s JOIN t USING (type) WHERE rank = 1), {_merge_step(2)}, {_merge_step(3)}
+SELECT {_OUT} FROM q2 WHERE errors <> '' UNION ALL SELECT {_OUT} FROM q3""")
 def entity_resolve_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """The flagship merge of two sources: exact, fuzzy and left-over rows with the rules' verdict."""
-    rows = resolve.combine_rows(_side(spark, sf, "VRSDataOperatorSource"), _side(spark, sf, "OpenTravelOperatorSource"))
+    """The flagship merge of all sources, the most trusted first: exact, fuzzy and left-over rows with the rules' verdict;
+    phase is the place of the source that a row comes from."""
+    rows = resolve.combine_all([rows for _, rows in _sides(spark, sf)])
     return rows.select("phase", "src", "name", "icao_code", "iata_code", F.array_join("errors", ", ").alias("errors"))
 
 
-@query(_MERGE + "SELECT l_id, r_id FROM x")
+@query(f"""WITH {_CURRENT_SQL}, r AS (SELECT s.*, rank FROM s JOIN t USING (type))
+SELECT l.type AS l_type, o.type AS r_type, l.id AS l_id, min(o.id) AS r_id FROM r l JOIN r o ON l.rank < o.rank AND o.name = l.name AND CASE WHEN l.icao_code IS NULL THEN o.iata_code = l.iata_code ELSE o.icao_code = l.icao_code END GROUP BY ALL""")
 def exact_match(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.exact_matches(_side(spark, sf, "VRSDataOperatorSource"), _side(spark, sf, "OpenTravelOperatorSource"))
+    return _of_pairs(spark, sf, resolve.exact_matches)
 
 
-@query(f"WITH v AS ({_side_sql('VRSDataOperatorSource')}) SELECT DISTINCT v.name AS name_a, o.name AS name_b, round(jaro_winkler_similarity(v.name, o.name), 6) AS similarity FROM v JOIN (SELECT regexp_replace(name, '[^ -~]', '', 'g') AS name, iata_code FROM operators) o ON v.iata_code = o.iata_code WHERE v.name <> '' AND o.name <> ''")
+@query(f"""WITH {_CURRENT_SQL}, {_ONE_BYTE} SELECT DISTINCT s.name AS name_a, o.name AS name_b, round(jaro_winkler_similarity(translate(s.name, f, z.t), translate(o.name, f, z.t)), 6) AS similarity FROM s JOIN operators o ON s.iata_code = o.iata_code, z WHERE s.name <> '' AND o.name <> ''""")
 def jaro_winkler_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    v = _side(spark, sf, "VRSDataOperatorSource").select("iata_code", F.col("name").alias("name_a")).where("name_a <> ''")
-    o = table(spark, sf, "operators").select("iata_code", F.regexp_replace("name", "[^ -~]", "").alias("name_b")).where("name_b <> ''")
+    v = _current(spark, sf).select("iata_code", F.col("name").alias("name_a")).where("name_a <> ''")
+    o = table(spark, sf, "operators").select("iata_code", F.col("name").alias("name_b")).where("name_b <> ''")
     p = v.join(o, "iata_code").select("name_a", "name_b").distinct().withColumn("_j", jaro(F.col("name_a"), F.col("name_b")))
     return p.select("name_a", "name_b", F.round(boost(F.col("_j"), F.col("name_a"), F.col("name_b")), 6).alias("similarity"))
 
 
-_CASCADE_TEXT = "CASE id % 3 WHEN 0 THEN country WHEN 1 THEN lower(country) ELSE substr(country, 1, 8) END"
+@query(f"""WITH {_CURRENT_SQL}, p AS (SELECT id, name AS t, list_filter(string_split_regex(name, '\\s+'), lambda w: w <> '') AS w FROM s), e AS (SELECT id, t, unnest(range(1, len(w) + 1)) AS k, w FROM p), x AS (SELECT id, t, array_to_string(w[1:k], ' ') AS name FROM e),
+n AS (SELECT name, min(id) AS name_id FROM operators GROUP BY name)
+SELECT id, name_id, name, substr(t, length(name) + 2) AS rest FROM x JOIN n USING (name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(name) DESC, name_id) = 1""")
+def longest_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.longest_prefix(_current(spark, sf), "id", "name", table(spark, sf, "operators"))
 
 
-@query(f"""SELECT a.id, CAST(c.id AS BIGINT) AS country_id, c.tier FROM (SELECT id, {_CASCADE_TEXT} AS t FROM airports) a, LATERAL (SELECT id, CASE WHEN a.t = name THEN 1 WHEN lower(a.t) = lower(name) THEN 2 ELSE 3 END AS tier FROM countries WHERE a.t = name OR lower(a.t) = lower(name) OR lower(name) LIKE '%' || lower(a.t) || '%' ORDER BY 2, 1 LIMIT 1) c""")
-def country_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.country_cascade(table(spark, sf, "airports").select("id", F.expr(_CASCADE_TEXT.replace("CASE id % 3 WHEN 0", "CASE WHEN id % 3 = 0").replace("WHEN 1 THEN", "WHEN id % 3 = 1 THEN")).alias("t")), "id", "t", table(spark, sf, "countries"))
+@query(f"""WITH {_CURRENT_SQL}, c AS (SELECT DISTINCT type, icao_code FROM s WHERE icao_code IS NOT NULL), p AS (SELECT l.type AS l_type, r.type AS r_type FROM t l JOIN t r ON l.rank < r.rank)
+SELECT l_type, r_type, icao_code, CASE WHEN count(*) = 2 THEN 'both' WHEN min(type) = l_type THEN 'left' ELSE 'right' END AS side FROM p JOIN c ON type IN (l_type, r_type) GROUP BY l_type, r_type, icao_code""")
+def code_sets(spark: SparkSession, sf: str) -> DataFrame:
+    def sets(left: DataFrame, right: DataFrame) -> DataFrame:
+        v, o = (d.where(F.col("icao_code").isNotNull()).select("icao_code").distinct() for d in (left, right))
+        both = v.withColumn("_v", F.lit(True)).join(o.withColumn("_o", F.lit(True)), "icao_code", "full")
+        return both.select("icao_code", F.when(F.col("_o").isNull(), "left").when(F.col("_v").isNull(), "right").otherwise("both").alias("side"))
 
+    return _of_pairs(spark, sf, sets)
 
-@query(f"""WITH v AS ({_side_sql('VRSDataOperatorSource')}), p AS (SELECT id, name AS t, list_filter(string_split_regex(trim(name), '\\s+'), lambda w: w <> '') AS w FROM v), e AS (SELECT id, t, unnest(range(1, len(w) + 1)) AS k, w FROM p), x AS (SELECT id, t, array_to_string(w[1:k], ' ') AS name FROM e),
-n AS (SELECT name, min(id) AS name_id FROM operators GROUP BY name)
-SELECT id, name_id, name, substr(t, length(name) + 2) AS rest FROM x JOIN n USING (name) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(name) DESC, name_id) = 1""")
-def longest_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.longest_prefix(_side(spark, sf, "VRSDataOperatorSource"), "id", "name", table(spark, sf, "operators"))
+
+@query(f"""SELECT a.id, CAST(c.id AS BIGINT) AS country_id, c.tier FROM (SELECT id, country AS t FROM airports UNION ALL SELECT -id, lower(country) FROM airports UNION ALL SELECT id + 1000000000, regexp_extract(country, '^\\S+') FROM airports) a, LATERAL (SELECT id, CASE WHEN a.t = name THEN 1 WHEN lower(a.t) = lower(name) THEN 2 ELSE 3 END AS tier FROM countries WHERE a.t = name OR lower(a.t) = lower(name) OR lower(name) LIKE '%' || lower(a.t) || '%' ORDER BY 2, 1 LIMIT 1) c""")
+def country_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Countries as they stand, in small letters, and by their first word, so that each tier is met."""
+    a = table(spark, sf, "airports")
+    texts = a.select("id", F.col("country").alias("t")).unionByName(a.select((-F.col("id")).alias("id"), F.lower("country").alias("t"))).unionByName(a.select((F.col("id") + 1000000000).alias("id"), F.regexp_extract("country", r"^\S+", 0).alias("t")))
+    return resolve.country_cascade(texts, "id", "t", table(spark, sf, "countries"))
 
 
 @query("SELECT CAST(aircraft_type_id AS BIGINT) AS aircraft_type_id, count(*) AS n_rows, min(id) AS first_id FROM aircraft WHERE aircraft_type_id IS NOT NULL AND aircraft_type_id NOT IN (SELECT id FROM aircraft_types) GROUP BY 1")
@@ -322,13 +369,6 @@ def anti_required_parent(spark: SparkSession, sf: str) -> DataFrame:
     return validate.without_parent(table(spark, sf, "airports"), "flight_information_region_id", table(spark, sf, "flight_information_regions")).select("id", "name")
 
 
-@query(f"WITH v AS ({_side_sql('VRSDataOperatorSource')}), o AS ({_side_sql('OpenTravelOperatorSource')}) SELECT icao_code, 'both' AS side FROM (SELECT icao_code FROM v INTERSECT SELECT icao_code FROM o) WHERE icao_code IS NOT NULL UNION ALL SELECT icao_code, 'left' FROM (SELECT icao_code FROM v EXCEPT SELECT icao_code FROM o) WHERE icao_code IS NOT NULL UNION ALL SELECT icao_code, 'right' FROM (SELECT icao_code FROM o EXCEPT SELECT icao_code FROM v) WHERE icao_code IS NOT NULL")
-def code_sets(spark: SparkSession, sf: str) -> DataFrame:
-    v, o = (_side(spark, sf, k).where(F.col("icao_code").isNotNull()).select("icao_code") for k in ("VRSDataOperatorSource", "OpenTravelOperatorSource"))
-    side = lambda d, s: d.withColumn("side", F.lit(s))
-    return side(v.intersect(o), "both").unionByName(side(v.distinct().join(o, "icao_code", "left_anti"), "left")).unionByName(side(o.distinct().join(v, "icao_code", "left_anti"), "right"))
-
-
 # Groups
 
 
@@ -387,20 +427,19 @@ def repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
     return validate.repeated(table(spark, sf, "aircraft"), "icao")
 
 
-def _month_sql(month: str) -> str:
-    return f"""SELECT ref, name, icao_code, iata_code FROM (SELECT id, import_date, name, icao_code, iata_code, trim((CASE WHEN json_type(CAST(data AS JSON)) = 'VARCHAR' THEN CAST(CAST(data AS JSON) ->> '$' AS JSON) ELSE CAST(data AS JSON) END) ->> '$.source_ref') AS ref
- FROM operator_sources WHERE type = 'VRSDataOperatorSource' AND strftime(import_date, '%Y-%m') = '{month}') QUALIFY row_number() OVER (PARTITION BY ref ORDER BY import_date DESC, id DESC) = 1"""
-
-
-@query(f"""WITH o AS ({_month_sql('2024-01')}), n AS ({_month_sql('2024-02')})
-SELECT coalesce(o.ref, n.ref) AS item_id, CASE WHEN o.ref IS NULL THEN 'create' WHEN n.ref IS NULL THEN 'destroy' ELSE 'update' END AS event,
+@query(f"""WITH m AS (SELECT type, month, ref, name, icao_code, iata_code FROM (SELECT *, {_REF_SQL} AS ref, strftime(import_date, '%Y-%m') AS month FROM operator_sources) WHERE ref <> '' AND month IS NOT NULL
+ QUALIFY row_number() OVER (PARTITION BY type, month, ref ORDER BY import_date DESC, id DESC) = 1),
+c AS (SELECT type, month, lead(month) OVER (PARTITION BY type ORDER BY month) AS after, lag(month) OVER (PARTITION BY type ORDER BY month) AS before FROM (SELECT DISTINCT type, month FROM m)),
+o AS (SELECT m.type, after AS month, ref, name, icao_code, iata_code FROM m JOIN c USING (type, month) WHERE after IS NOT NULL), n AS (SELECT m.* FROM m JOIN c USING (type, month) WHERE before IS NOT NULL)
+SELECT coalesce(o.type, n.type) AS type, coalesce(o.month, n.month) AS snapshot, coalesce(o.ref, n.ref) AS item_id, CASE WHEN o.ref IS NULL THEN 'create' WHEN n.ref IS NULL THEN 'destroy' ELSE 'update' END AS event,
  concat_ws(',', CASE WHEN o.name IS DISTINCT FROM n.name THEN 'name' END, CASE WHEN o.icao_code IS DISTINCT FROM n.icao_code THEN 'icao_code' END, CASE WHEN o.iata_code IS DISTINCT FROM n.iata_code THEN 'iata_code' END) AS changed
- FROM o FULL JOIN n ON o.ref = n.ref WHERE o.ref IS NULL OR n.ref IS NULL OR o.name IS DISTINCT FROM n.name OR o.icao_code IS DISTINCT FROM n.icao_code OR o.iata_code IS DISTINCT FROM n.iata_code""")
+ FROM o FULL JOIN n ON o.type = n.type AND o.month = n.month AND o.ref = n.ref WHERE o.ref IS NULL OR n.ref IS NULL OR o.name IS DISTINCT FROM n.name OR o.icao_code IS DISTINCT FROM n.icao_code OR o.iata_code IS DISTINCT FROM n.iata_code""")
 def history_diff(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "operator_sources").where("type = 'VRSDataOperatorSource'").select("id", "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
-    month = lambda m: latest_rows(s.where(F.date_format("import_date", "yyyy-MM") == m), ["ref"], ["import_date", "id"])
-    log = audit.versions(month("2024-01"), month("2024-02"), "ref", ["name", "icao_code", "iata_code"], "OperatorSource")
-    return log.select("item_id", "event", F.array_join("changed", ",").alias("changed"))
+    """Each month of each type against the type's month before; rows without source_ref can't be followed and are left out."""
+    s = table(spark, sf, "operator_sources").select("id", "type", F.date_format("import_date", "yyyy-MM").alias("snapshot"), "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
+    rows = latest_rows(s.where("ref <> '' AND snapshot IS NOT NULL"), ["type", "snapshot", "ref"], ["import_date", "id"])
+    log = audit.snapshot_versions(rows, "type", "snapshot", "ref", ["name", "icao_code", "iata_code"], "OperatorSource")
+    return log.select("type", "snapshot", "item_id", "event", F.array_join("changed", ",").alias("changed"))
 
 
 # Search and pages
@@ -410,16 +449,18 @@ _WORDS = [("shedanesha", 2, False), ("leasng", 1, True)]
 
 
 def _search_sql() -> str:
-    words = "list_filter(string_split_regex(lower(regexp_replace(coalesce(CAST({c} AS VARCHAR), ''), '[^ -~]', '', 'g')), '[^a-z0-9]+'), lambda w: w <> '')"
+    words = "list_filter(string_split_regex(lower(coalesce(CAST({c} AS VARCHAR), '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     post = " UNION ALL ".join(f"SELECT id, {r} AS attribute, unnest({words.format(c=a)}) AS term FROM d" for r, a in enumerate(_ATTRIBUTES))
+    # Each character beyond ASCII counts as one, which no searched word has.
+    plain = "regexp_replace(term, '[^ -~]', '?', 'g')"
     hits = " UNION ALL ".join(f"SELECT id, min({d}) AS typos, min(attribute) AS attribute, max(CASE WHEN term = '{w}' THEN 1 ELSE 0 END) AS exact FROM p WHERE {d} IS NOT NULL GROUP BY id" for w, d in (
-        (w, f"CASE WHEN term = '{w}' THEN 0 " + (f"WHEN starts_with(term, '{w}') THEN 0 " if last else "") + f"WHEN levenshtein(term, '{w}') <= {k} THEN levenshtein(term, '{w}') END") for w, k, last in _WORDS))
+        (w, f"CASE WHEN term = '{w}' THEN 0 " + (f"WHEN starts_with(term, '{w}') THEN 0 " if last else "") + f"WHEN levenshtein({plain}, '{w}') <= {k} THEN levenshtein({plain}, '{w}') END") for w, k, last in _WORDS))
     return f"WITH d AS ({_DENORM}), p AS ({post}), h AS ({hits}) SELECT id, CAST(count(*) AS INT) AS n_words, CAST(sum(typos) AS INT) AS n_typos, min(attribute) AS best_attribute, CAST(sum(exact) AS INT) AS exact FROM h GROUP BY id"
 
 
 @query(_search_sql())
 def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    d = _denormalised(spark, sf).select("id", *[F.regexp_replace(F.col(a).cast("string"), "[^ -~]", "").alias(a) for a in _ATTRIBUTES])
+    d = _denormalised(spark, sf).select("id", *_ATTRIBUTES)
     return search.search(search.postings(d, "id", _ATTRIBUTES), "id", " ".join(w for w, _, _ in _WORDS))
 
 
@@ -449,115 +490,3 @@ def html_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return fieldmap.pairs_to_record(pairs, "id", [fieldmap.Field("Name", "name"), fieldmap.Field("City", "city")])
 
 
-# The whole tables: every source type, the current row of each record over all months, names as they stand. The queries of
-# the same names without _all show single operators on one month of one or two types, as their SQL does; DuckDB compares
-# names by bytes, so what measures the likeness of whole names has no SQL.
-
-
-_REF_SQL = "trim((CASE WHEN json_type(CAST(data AS JSON)) = 'VARCHAR' THEN CAST(CAST(data AS JSON) ->> '$' AS JSON) ELSE CAST(data AS JSON) END) ->> '$.source_ref')"
-
-_CURRENT_SQL = f"""s AS (SELECT id, type, name, {_blank('icao_code')} AS icao_code, {_blank('iata_code')} AS iata_code FROM (SELECT *, {_REF_SQL} AS ref FROM operator_sources)
- QUALIFY row_number() OVER (PARTITION BY type, CASE WHEN coalesce(ref, '') <> '' THEN 'r' || ref ELSE '#' || id END ORDER BY import_date DESC, id DESC) = 1),
-t AS (SELECT type, row_number() OVER (ORDER BY coalesce(max(trust), -1) DESC, type) AS rank FROM (SELECT DISTINCT type FROM operator_sources) LEFT JOIN source_types USING (type) GROUP BY type)"""
-
-
-def _current(spark: SparkSession, sf: str) -> DataFrame:
-    """The current row of each record (type and source_ref) over all months; a row without source_ref is a record of its own."""
-    s = table(spark, sf, "operator_sources").select("id", "type", "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
-    s = s.withColumn("record", F.when(F.coalesce("ref", F.lit("")) != "", F.concat(F.lit("r"), "ref")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))))
-    rows = latest_rows(s.drop("ref"), ["type", "record"], ["import_date", "id"])
-    return rows.select("id", "type", "name", scalars.null_if_blank(F.col("icao_code")).alias("icao_code"), scalars.null_if_blank(F.col("iata_code")).alias("iata_code"))
-
-
-def _sides(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
-    """(type, its current rows), the most trusted type first; a type without known trust last."""
-    kinds = table(spark, sf, "operator_sources").select("type").distinct().join(table(spark, sf, "source_types"), "type", "left")
-    order = kinds.groupBy("type").agg(F.coalesce(F.max("trust"), F.lit(-1)).alias("trust")).orderBy(F.desc("trust"), "type").collect()  # a fixed list of types
-    rows = _current(spark, sf)
-    return [(r["type"], rows.where(F.col("type") == r["type"]).drop("type")) for r in order]
-
-
-def _of_pairs(spark: SparkSession, sf: str, f) -> DataFrame:
-    """f(left, right) of every two types, the more trusted one at the left, with both types."""
-    sides, out = _sides(spark, sf), None
-    for i, (a, left) in enumerate(sides):
-        for b, right in sides[i + 1 :]:
-            one = f(left, right).select(F.lit(a).alias("l_type"), F.lit(b).alias("r_type"), "*")
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query()
-def entity_resolve_merge_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All sources merged, the most trusted first; phase is the place of the source that a row comes from."""
-    rows = resolve.combine_all([rows for _, rows in _sides(spark, sf)])
-    return rows.select("phase", "src", "name", "icao_code", "iata_code", F.array_join("errors", ", ").alias("errors"))
-
-
-@query(f"""WITH {_CURRENT_SQL}, r AS (SELECT s.*, rank FROM s JOIN t USING (type))
-SELECT l.type AS l_type, o.type AS r_type, l.id AS l_id, min(o.id) AS r_id FROM r l JOIN r o ON l.rank < o.rank AND o.name = l.name AND CASE WHEN l.icao_code IS NULL THEN o.iata_code = l.iata_code ELSE o.icao_code = l.icao_code END GROUP BY ALL""")
-def exact_match_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _of_pairs(spark, sf, resolve.exact_matches)
-
-
-@query()
-def jaro_winkler_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
-    v = _current(spark, sf).select("iata_code", F.col("name").alias("name_a")).where("name_a <> ''")
-    o = table(spark, sf, "operators").select("iata_code", F.col("name").alias("name_b")).where("name_b <> ''")
-    p = v.join(o, "iata_code").select("name_a", "name_b").distinct().withColumn("_j", jaro(F.col("name_a"), F.col("name_b")))
-    return p.select("name_a", "name_b", F.round(boost(F.col("_j"), F.col("name_a"), F.col("name_b")), 6).alias("similarity"))
-
-
-@query()
-def longest_prefix_join_all(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.longest_prefix(_current(spark, sf), "id", "name", table(spark, sf, "operators"))
-
-
-@query(f"""WITH {_CURRENT_SQL}, c AS (SELECT DISTINCT type, icao_code FROM s WHERE icao_code IS NOT NULL), p AS (SELECT l.type AS l_type, r.type AS r_type FROM t l JOIN t r ON l.rank < r.rank)
-SELECT l_type, r_type, icao_code, CASE WHEN count(*) = 2 THEN 'both' WHEN min(type) = l_type THEN 'left' ELSE 'right' END AS side FROM p JOIN c ON type IN (l_type, r_type) GROUP BY l_type, r_type, icao_code""")
-def code_sets_all(spark: SparkSession, sf: str) -> DataFrame:
-    def sets(left: DataFrame, right: DataFrame) -> DataFrame:
-        v, o = (d.where(F.col("icao_code").isNotNull()).select("icao_code").distinct() for d in (left, right))
-        both = v.withColumn("_v", F.lit(True)).join(o.withColumn("_o", F.lit(True)), "icao_code", "full")
-        return both.select("icao_code", F.when(F.col("_o").isNull(), "left").when(F.col("_v").isNull(), "right").otherwise("both").alias("side"))
-
-    return _of_pairs(spark, sf, sets)
-
-
-@query(f"""WITH m AS (SELECT type, month, ref, name, icao_code, iata_code FROM (SELECT *, {_REF_SQL} AS ref, strftime(import_date, '%Y-%m') AS month FROM operator_sources) WHERE ref <> '' AND month IS NOT NULL
- QUALIFY row_number() OVER (PARTITION BY type, month, ref ORDER BY import_date DESC, id DESC) = 1),
-c AS (SELECT type, month, lead(month) OVER (PARTITION BY type ORDER BY month) AS after, lag(month) OVER (PARTITION BY type ORDER BY month) AS before FROM (SELECT DISTINCT type, month FROM m)),
-o AS (SELECT m.type, after AS month, ref, name, icao_code, iata_code FROM m JOIN c USING (type, month) WHERE after IS NOT NULL), n AS (SELECT m.* FROM m JOIN c USING (type, month) WHERE before IS NOT NULL)
-SELECT coalesce(o.type, n.type) AS type, coalesce(o.month, n.month) AS snapshot, coalesce(o.ref, n.ref) AS item_id, CASE WHEN o.ref IS NULL THEN 'create' WHEN n.ref IS NULL THEN 'destroy' ELSE 'update' END AS event,
- concat_ws(',', CASE WHEN o.name IS DISTINCT FROM n.name THEN 'name' END, CASE WHEN o.icao_code IS DISTINCT FROM n.icao_code THEN 'icao_code' END, CASE WHEN o.iata_code IS DISTINCT FROM n.iata_code THEN 'iata_code' END) AS changed
- FROM o FULL JOIN n ON o.type = n.type AND o.month = n.month AND o.ref = n.ref WHERE o.ref IS NULL OR n.ref IS NULL OR o.name IS DISTINCT FROM n.name OR o.icao_code IS DISTINCT FROM n.icao_code OR o.iata_code IS DISTINCT FROM n.iata_code""")
-def history_diff_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Each month of each type against the type's month before; rows without source_ref can't be followed and are left out."""
-    s = table(spark, sf, "operator_sources").select("id", "type", F.date_format("import_date", "yyyy-MM").alias("snapshot"), "import_date", "name", "icao_code", "iata_code", F.trim(members(F.col("data"))["source_ref"]).alias("ref"))
-    rows = latest_rows(s.where("ref <> '' AND snapshot IS NOT NULL"), ["type", "snapshot", "ref"], ["import_date", "id"])
-    log = audit.snapshot_versions(rows, "type", "snapshot", "ref", ["name", "icao_code", "iata_code"], "OperatorSource")
-    return log.select("type", "snapshot", "item_id", "event", F.array_join("changed", ",").alias("changed"))
-
-
-_COUNTRY_SIDES = """SELECT type, upper(trim(iso_2char_code)) AS iso2, name, capital, iso_3char_code, import_date FROM country_sources WHERE trim(iso_2char_code) <> '' AND import_date {op} TIMESTAMP '2024-05-01'
- QUALIFY row_number() OVER (PARTITION BY type, upper(trim(iso_2char_code)) ORDER BY import_date DESC, id DESC) = 1"""
-
-
-@query(f"""WITH c AS ({_COUNTRY_SIDES.format(op='<')}), b AS ({_COUNTRY_SIDES.format(op='>=')})
-SELECT type, iso2, CASE WHEN b.iso2 IS NULL THEN c.name ELSE b.name END AS name, CASE WHEN b.iso2 IS NULL THEN c.capital ELSE b.capital END AS capital, CASE WHEN b.iso2 IS NULL THEN c.iso_3char_code ELSE b.iso_3char_code END AS iso_3char_code,
- strftime(CASE WHEN outcome IN ('inserted', 'updated') THEN TIMESTAMP '2024-09-01' ELSE c.import_date END, '%Y-%m-%d %H:%M:%S') AS import_date, outcome
-FROM (SELECT coalesce(c.type, b.type) AS type, coalesce(c.iso2, b.iso2) AS iso2, c, b, CASE WHEN b.iso2 IS NULL THEN 'kept' WHEN c.iso2 IS NULL THEN 'inserted' WHEN c.name IS NOT DISTINCT FROM b.name AND c.capital IS NOT DISTINCT FROM b.capital AND c.iso_3char_code IS NOT DISTINCT FROM b.iso_3char_code THEN 'unchanged' ELSE 'updated' END AS outcome
- FROM c FULL JOIN b ON c.type = b.type AND c.iso2 = b.iso2)""")
-def upsert_merge_changed_all(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.struct("type", F.upper(F.trim("iso_2char_code")).alias("iso2")).alias("key")
-    s = table(spark, sf, "country_sources").select(key, "name", "capital", "iso_3char_code", "import_date", "id").where("key.iso2 <> ''")
-    cut = F.lit("2024-05-01").cast("timestamp")
-    side = lambda c: upsert.last_wins(s.where(c), ["key"], ["import_date", "id"]).drop("id")
-    m = upsert.merge(side(F.col("import_date") < cut), side(F.col("import_date") >= cut), "key", ["name", "capital", "iso_3char_code"], "import_date", F.lit("2024-09-01").cast("timestamp"))
-    return m.select("key.type", "key.iso2", "name", "capital", "iso_3char_code", F.date_format("import_date", "yyyy-MM-dd HH:mm:ss").alias("import_date"), "outcome")
-
-
-@query()
-def search_ranked_all(spark: SparkSession, sf: str) -> DataFrame:
-    d = _denormalised(spark, sf).select("id", *_ATTRIBUTES)
-    return search.search(search.postings(d, "id", _ATTRIBUTES), "id", " ".join(w for w, _, _ in _WORDS))
