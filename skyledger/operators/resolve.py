@@ -60,18 +60,18 @@ def combine_rows(left: DataFrame, right: DataFrame, alt: str | None = None, lite
     exact = exact_matches(left, right)
     rest = left.join(exact.select(F.col("l_id").alias("id")), "id", "left_anti")
     matched = exact.unionByName(fuzzy_matches(rest, right, alt).select("l_id", "r_id"))
-    l = left.select(F.col("id").alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in ("name", "icao_code", "iata_code")])  # noqa: E741
-    r = right.select(F.col("id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in ("name", "icao_code", "iata_code")])
-    from_left = l.join(matched, "l_id", "left").join(r, "r_id", "left")
-    first = from_left.select(F.lit(1).alias("phase"), F.col("l_id").alias("src"), *[preferred(F.col(f"l_{c}"), F.col(f"r_{c}"), literal).alias(c) for c in ("name", "icao_code", "iata_code")])
-    second = right.join(matched.select(F.col("r_id").alias("id")), "id", "left_anti").select(F.lit(2).alias("phase"), F.col("id").alias("src"), "name", "icao_code", "iata_code")
-    rows = first.unionByName(second).withColumn("errors", broken(operator_rules()))
-    competes = F.when((F.size("errors") == 0) & present("icao_code"), F.lower("icao_code"))
-    rn = F.row_number().over(W.partitionBy(competes).orderBy("phase", "src"))
-    # Rows that don't compete stand side by side under their own keys, not in one group.
-    lone = rows.where(competes.isNull())
-    ranked = rows.where(competes.isNotNull()).withColumn("errors", F.when(rn > 1, F.array(F.lit("icao_code taken"))).otherwise(F.col("errors")))
-    return ranked.unionByName(lone)
+    columns = ("name", "icao_code", "iata_code")
+    l = left.select(F.col("id").alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in columns])  # noqa: E741
+    r = right.select(F.col("id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in columns])
+    both = l.join(matched, "l_id", "left").join(r, "r_id", "full")
+    alone = F.col("l_id").isNull()
+    picked = [F.when(alone, F.col(f"r_{c}")).otherwise(preferred(F.col(f"l_{c}"), F.col(f"r_{c}"), literal)).alias(c) for c in columns]
+    rows = both.select(F.when(alone, 2).otherwise(1).alias("phase"), F.coalesce("l_id", "r_id").alias("src"), *picked).withColumn("errors", broken(operator_rules()))
+    # Rows that don't compete for a code stand under keys of their own, not in one group.
+    competes = F.when((F.size("errors") == 0) & present("icao_code"), F.concat(F.lit("c"), F.lower("icao_code")))
+    rows = rows.withColumn("_code", F.coalesce(competes, F.concat_ws("|", F.lit("r"), "phase", "src")))
+    rn = F.row_number().over(W.partitionBy("_code").orderBy("phase", "src"))
+    return rows.withColumn("errors", F.when(rn > 1, F.array(F.lit("icao_code taken"))).otherwise(F.col("errors"))).drop("_code")
 
 
 def combine(left: DataFrame, right: DataFrame, alt: str | None = None, literal: bool = False) -> tuple[DataFrame, DataFrame]:
