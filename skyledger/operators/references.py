@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 1 / 64
 
 
+#: Broken keys are broadcast up to this number, which is counted first; more of them meet the references by a split join.
+BROADCAST_KEYS = 200_000
+
+
 @dataclass(frozen=True)
 class Reference:
     """``child_field`` of ``child_table`` names ``parent_key`` of the parent table."""
@@ -63,12 +67,18 @@ def _broken_keys(groups: DataFrame, parents: DataFrame, heavy: list[int]) -> Dat
     return missing.unionByName(late)
 
 
+def _of_broken_keys(rows: DataFrame, broken: DataFrame, heavy: list[int]) -> DataFrame:
+    if broken.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(broken), "_key")
+    return _split_join(rows, broken, heavy, "inner")
+
+
 def _pre_aggregated(child: DataFrame, parent: DataFrame, ref: Reference, heavy_share: float) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
     """References, their groups by key and period, the broken keys and the heavy ones."""
     refs = _refs(child, ref).withColumn("period", _period(F.col("_at")))
     groups = refs.groupBy("_key", "period").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
     heavy = _heavy_keys(groups, heavy_share)
-    return refs, groups, _broken_keys(groups, _parents(parent, ref), heavy), heavy
+    return refs, groups, _broken_keys(groups, _parents(parent, ref), heavy).persist(), heavy
 
 
 def broken_references(child: DataFrame, parent: DataFrame, ref: Reference, heavy_share: float = HEAVY_SHARE) -> DataFrame:
@@ -79,7 +89,7 @@ def broken_references(child: DataFrame, parent: DataFrame, ref: Reference, heavy
     null nothing is late; period is '' where the child's time is null. Empty tables: no child, no rows; no parent, all missing.
     """
     refs, _, broken, heavy = _pre_aggregated(child, parent, ref, heavy_share)
-    found = _split_join(refs, broken, heavy, "inner").where((F.col("state") == "missing") | (F.col("_born") > F.col("_at")))
+    found = _of_broken_keys(refs, broken, heavy).where((F.col("state") == "missing") | (F.col("_born") > F.col("_at")))
     return found.select(F.lit(ref.child_table).alias("child_table"), F.lit(ref.child_field).alias("child_field"), "child_id", "state", "period")
 
 
@@ -91,11 +101,11 @@ def orphan_report(child: DataFrame, parent: DataFrame, ref: Reference, heavy_sha
     """
     refs, groups, broken, heavy = _pre_aggregated(child, parent, ref, heavy_share)
     month = _period(F.col("_born"))
-    whole = _split_join(groups, broken, heavy, "inner").select(
+    whole = _of_broken_keys(groups, broken, heavy).select(
         "period", F.lit(0).alias("n_references"), F.when(F.col("state") == "missing", F.col("n")).otherwise(0).alias("n_missing"),
         F.when((F.col("state") == "late") & (month > F.col("period")) & (F.col("period") != ""), F.col("n")).otherwise(0).alias("n_late"),
     )
-    own = _split_join(refs, broken.where(F.col("state") == "late"), heavy, "inner").where((month == F.col("period")) & (F.col("_born") > F.col("_at")))
+    own = _of_broken_keys(refs, broken.where(F.col("state") == "late"), heavy).where((month == F.col("period")) & (F.col("_born") > F.col("_at")))
     within = own.groupBy("period").agg(F.count("*").alias("n_late")).select("period", F.lit(0).alias("n_references"), F.lit(0).alias("n_missing"), "n_late")
     all_ = groups.select("period", F.col("n").alias("n_references"), F.lit(0).alias("n_missing"), F.lit(0).alias("n_late"))
     total = all_.unionByName(whole).unionByName(within).groupBy("period").agg(*[F.sum(c).alias(c) for c in ("n_references", "n_missing", "n_late")])
