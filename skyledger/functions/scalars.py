@@ -129,3 +129,8 @@ def with_prefix(c: Column, prefix: str) -> Column:
 def label_key(c: Column) -> Column:
     """A label without its final colon."""
     return F.regexp_replace(strip_ascii(c), r"(?m):$", "")
+
+
+def severity(status: Column) -> Column:
+    """Colour of a status' label."""
+    return F.when(status == "active", "green").when(status.isin("stored", "withdrawn"), "yellow").when(status.isin("destroyed", "scrapped", "written off"), "red").otherwise("gray")

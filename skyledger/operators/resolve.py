@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from skyledger.functions.scalars import preferred, token_prefixes
+from skyledger.functions import rules
+from skyledger.functions.scalars import preferred, titleize, token_prefixes
 from skyledger.functions.similarity import jaro_winkler
-from skyledger.operators.snapshots import latest_rows
+from skyledger.operators.search import words
 from skyledger.operators.validate import broken, operator_rules, present
 
 #: Least similarity of names by whether the longer code takes part.
@@ -101,22 +102,28 @@ def combine_all(sides: list[DataFrame], literal: bool = False) -> DataFrame:
     return (rows if rejected is None else rows.unionByName(rejected)).join(origin, "src").select("phase", "src", *columns, "errors")
 
 
-#: Dimension tables of at most so many rows are looked through text by text; they are counted first.
-SMALL_DIMENSION = 10_000
-
-
 def country_cascade(df: DataFrame, key: str, text: str, countries: DataFrame) -> DataFrame:
     """(key, country_id, tier): equal name (1), equal but for case (2), or the country's name holds the text (3, where % and _ are
-    wildcards); within a tier the lowest id; no row without a hit. Distinct texts only meet the dimension, whose size is checked."""
-    if countries.count() > SMALL_DIMENSION:
-        raise ValueError("the third tier needs a small dimension")
+    wildcards); within a tier the lowest id; no row without a hit.
+
+    Distinct texts only are looked up: the first two tiers by equal keys, and what is left by a word of three letters that
+    country and text share, if the text has no wildcard and a whole word; only the others meet every country.
+    """
     texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_t")).distinct()
-    c = F.broadcast(countries.select(F.col("id").alias("country_id"), F.col("name").alias("_n")))
+    c = countries.where(F.col("name").isNotNull()).select(F.col("id").alias("country_id"), F.col("name").alias("_n"))
+    one = texts.join(c, F.col("_t") == F.col("_n")).groupBy("_t").agg(F.min("country_id").alias("country_id")).withColumn("tier", F.lit(1))
+    two = texts.join(c, F.lower("_t") == F.lower("_n")).groupBy("_t").agg(F.min("country_id").alias("country_id")).withColumn("tier", F.lit(2))
+    rest = texts.join(two, "_t", "left_anti")
+    # Every three letters in a row of the text stand in the name, too; the first three that are letters are the key.
+    piece = F.regexp_extract(F.lower("_t"), r"(\p{L}{3})", 1)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_n") - 2, F.lit(1))), lambda i: F.substring(F.lower("_n"), i, F.lit(3)))
+    plain = (piece != "") & ~F.col("_t").rlike(r"[%_\\]")
     like = F.expr("lower(_n) like concat('%', lower(_t), '%')")
-    tier = F.when(F.col("_t") == F.col("_n"), 1).when(F.lower("_t") == F.lower("_n"), 2).when(like, 3)
-    hits = texts.join(c, like | (F.lower("_t") == F.lower("_n"))).select("_t", F.struct(tier.alias("tier"), "country_id").alias("_h"))
-    best = hits.groupBy("_t").agg(F.min("_h").alias("_h"))
-    return df.select(key, F.col(text).alias("_t")).join(best, "_t").select(key, F.col("_h.country_id").alias("country_id"), F.col("_h.tier").alias("tier"))
+    keyed = rest.where(plain).withColumn("_g", piece).join(c.withColumn("_g", F.explode(F.array_distinct(grams))), "_g").where(like)
+    odd = rest.where(~plain).join(c, like)
+    three = keyed.select("_t", "country_id").unionByName(odd.select("_t", "country_id")).groupBy("_t").agg(F.min("country_id").alias("country_id")).withColumn("tier", F.lit(3))
+    best = one.unionByName(two.join(one, "_t", "left_anti")).unionByName(three)
+    return df.select(key, F.col(text).alias("_t")).join(best, "_t").select(key, "country_id", "tier")
 
 
 def longest_prefix(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
@@ -143,14 +150,37 @@ def lookup_or_create(names: DataFrame, name: str, dim: DataFrame, key: Column |
     return distinct.join(known, "name", "left").select("name", F.coalesce("_id", key if key is not None else F.xxhash64("name")).alias("dim_id"), F.col("_id").isNull().alias("created"))
 
 
-def current_rows(sources: DataFrame, kind: str, keys: list[str]) -> DataFrame:
-    return latest_rows(sources.where(F.col("type") == kind), keys, ["import_date", "id"])
+def search_or_create(names: DataFrame, name: str, dim: DataFrame, key: Column | None = None) -> DataFrame:
+    """(name, title, dim_id, created): operators by their canonical, titled names: the row whose name holds most of the
+    title's leading words, at least the first one, then the lowest id; where there is none a new row.
+
+    Rows are met by the title's first word alone, the other words are looked up in the row met.
+    """
+    titled = names.where(present(name)).select(F.col(name).alias("name")).distinct().withColumn("title", titleize(rules.fold(F.col("name"), rules.OPERATORS)))
+    q = titled.withColumn("_w", words(F.col("title")))
+    d = dim.select(F.col("id").alias("_id"), words(F.col("name")).alias("_have"))
+    hits = q.where(F.size("_w") > 0).withColumn("_first", F.col("_w")[0]).join(d.select("_id", "_have", F.explode(F.array_distinct("_have")).alias("_first")), "_first")
+    missed = F.transform("_w", lambda w, i: F.when(~F.array_contains("_have", w), i))
+    lead = F.coalesce(F.array_min(missed), F.size("_w"))
+    best = hits.groupBy("name").agg(F.max_by("_id", F.struct(lead, -F.col("_id"))).alias("_id"))
+    fresh = key if key is not None else F.xxhash64("title")
+    return titled.join(best, "name", "left").select("name", "title", F.coalesce("_id", fresh).alias("dim_id"), F.col("_id").isNull().alias("created"))
+
+
+def lookup_maker(df: DataFrame, maker: str, makers: DataFrame) -> DataFrame:
+    """Adds maker_id: the lowest id of the maker whose name is the canonical, titled one; null where there is none."""
+    found = makers.groupBy(F.col("name").alias("_maker")).agg(F.min("id").alias("maker_id"))
+    return df.withColumn("_maker", titleize(rules.fold(F.col(maker), rules.MANUFACTURERS))).join(found, "_maker", "left").drop("_maker")
+
+
+def lookup_type(df: DataFrame, key: str, text: str, makers: DataFrame, types: DataFrame) -> DataFrame:
+    """(key, maker_id, type_id): the maker is the longest leading run of words, the type the maker's one of the name that
+    follows, the lowest id; rows without a maker are left out, type_id is null where the maker has no such type."""
+    found = longest_prefix(df, key, text, makers).select(key, F.col("name_id").alias("maker_id"), F.col("rest").alias("_t"))
+    t = types.groupBy(F.col("manufacturer_id").cast("long").alias("maker_id"), F.col("name").alias("_t")).agg(F.min("id").alias("type_id"))
+    return found.join(t, ["maker_id", "_t"], "left").select(key, "maker_id", "type_id")
 
 
 def through(outer: DataFrame, fk: str, middle: DataFrame, pk: str, columns: list[str]) -> DataFrame:
     """Two-hop join with repeated rows kept."""
     return outer.join(middle.withColumnRenamed(pk, "_pk"), F.col(fk) == F.col("_pk")).select(*columns)
-
-
-def rank_within(df: DataFrame, by: list[str], order: list, name: str = "rn") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))

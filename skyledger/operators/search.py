@@ -29,19 +29,33 @@ def search(index: DataFrame, key: str, query: str, limit: int | None = None) ->
     terms = [w for w in "".join(ch if ch.isalnum() else " " for ch in query.lower()).split()]
     if not terms:
         return index.select(key).distinct().select(key, F.lit(0).alias("n_words"), F.lit(0).alias("n_typos"), F.lit(0).alias("best_attribute"), F.lit(0).alias("exact")).orderBy(key)
+    # Words are matched against the distinct terms; the postings are met once, by the terms that match.
     t = F.col("term")
-    hits = None
+    near = []
     for i, w in enumerate(terms):
         k = 2 if len(w) >= 9 else 1 if len(w) >= 5 else 0
         d = F.levenshtein(t, F.lit(w), k)
-        near = F.when(t == w, 0).when(t.startswith(w), 0).otherwise(F.when(d >= 0, d)) if i == len(terms) - 1 else F.when(t == w, 0).otherwise(F.when(d >= 0, d))
-        one = index.where(near.isNotNull()).groupBy(key).agg(F.min(near).alias("typos"), F.min("attribute").alias("attribute"), F.max((t == w).cast("int")).alias("exact"))
-        hits = one if hits is None else hits.unionByName(one)
+        typos = F.when(t == w, 0).when(t.startswith(w), 0).otherwise(F.when(d >= 0, d)) if i == len(terms) - 1 else F.when(t == w, 0).otherwise(F.when(d >= 0, d))
+        near.append(F.struct(F.lit(i).alias("word"), typos.alias("typos"), (t == w).cast("int").alias("exact")))
+    matches = index.select("term").distinct().select("term", F.inline(F.filter(F.array(*near), lambda n: n["typos"].isNotNull())))
+    hits = index.join(matches, "term").groupBy(key, "word").agg(F.min("typos").alias("typos"), F.min("attribute").alias("attribute"), F.max("exact").alias("exact"))
     ranked = hits.groupBy(key).agg(F.count("*").cast("int").alias("n_words"), F.sum("typos").cast("int").alias("n_typos"), F.min("attribute").alias("best_attribute"), F.sum("exact").cast("int").alias("exact"))
     out = ranked.orderBy(F.desc("n_words"), "n_typos", "best_attribute", F.desc("exact"), key)
     return out.limit(limit) if limit else out
 
 
+def after(df: DataFrame, order: list[str], last: tuple | None, size: int) -> DataFrame:
+    """The next ``size`` rows behind the row ``last`` (its values of ``order``, none of them null) without counting off the
+    pages before; the first ones for None. Nulls of the first column come first."""
+    if last is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for c, v in zip(order, last):
+            beyond = beyond | (equal & (F.col(c) > F.lit(v)))
+            equal = equal & (F.col(c) == F.lit(v))
+        df = df.where(beyond)
+    return df.orderBy(*order).limit(size)
+
+
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     """Page ``number`` (from 1) in the order given, with pages in all and whether it is the last."""
     total = df.count()

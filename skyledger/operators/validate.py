@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -37,6 +39,28 @@ def operator_rules() -> list[Rule]:
     return [Rule("name", present("name")), Rule("icao_code", matches_if_present("icao_code", r"\A[A-Z0-9]{3}\z")), Rule("iata_code", matches_if_present("iata_code", r"\A[A-Z0-9]{2}\z"))]
 
 
+def source_rules() -> list[Rule]:
+    """Of an operator as a source states it: also at least one code."""
+    return [*operator_rules(), Rule("code", present("icao_code") | present("iata_code"))]
+
+
+def compiles(pattern: Column) -> Column:
+    """Whether a callsign pattern is a regular expression; null and blank ones are."""
+
+    @F.pandas_udf("boolean")
+    def ok(patterns: pd.Series) -> pd.Series:
+        def one(p) -> bool:
+            try:
+                re.compile(p or "")
+            except re.error:
+                return False
+            return True
+
+        return patterns.map(one)
+
+    return ok(pattern)
+
+
 def broken(rules: list[Rule]) -> Column:
     """array<string> of the names of broken rules, in their order."""
     return F.array_compact(F.array(*[F.when(~r.ok, F.lit(r.name)) for r in rules]))

@@ -45,9 +45,11 @@ def _blank(c: str) -> str:
 
 
 @query(f"""SELECT line_id, {_strip('"3char_code"')} AS icao_code, {_strip('"2char_code"')} AS iata_code, {_strip('num_code')} AS num_code, {_strip('validity_from')} AS validity_from,
- {_strip('validity_to')} AS validity_to, {_strip('name')} AS name, {_strip('name2')} AS alt_name, {_strip('wiki_link')} AS wikipedia_link FROM optd_airlines""")
+ {_strip('validity_to')} AS validity_to, {_strip('name')} AS name, {_strip('name2')} AS alt_name, {_strip('wiki_link')} AS wikipedia_link,
+ array_to_string(list_filter(p, lambda x, i: (i = 1 OR NOT (contains(p[i - 1], 'sign') OR contains(p[i - 1], 'abbr'))) AND NOT contains(x, '=') AND length(x) >= 3), '; ') AS alt_names
+ FROM (SELECT *, CASE WHEN alt_names IS NULL THEN NULL WHEN regexp_replace(alt_names, '\\|+$', '') = '' THEN [] ELSE string_split(regexp_replace(alt_names, '\\|+$', ''), '|') END AS p FROM optd_airlines)""")
 def fieldmap_project(spark: SparkSession, sf: str) -> DataFrame:
-    return fieldmap.project(table(spark, sf, "optd_airlines"), fieldmap.AIRLINES_B[:-1], keep=["line_id"])
+    return fieldmap.project(table(spark, sf, "optd_airlines"), fieldmap.AIRLINES_B, keep=["line_id"]).withColumn("alt_names", F.array_join("alt_names", "; "))
 
 
 @query(f"""SELECT id, {_blank('icao_code')} AS icao_code, {_blank('iata_code')} AS iata_code, CASE WHEN {_blank('icao_code')} IS NOT NULL THEN 'i|' || {_blank('icao_code')}
@@ -79,6 +81,44 @@ def enum_decode(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("id", scalars.decode(F.col("status"), labels).alias("status_name"), scalars.with_prefix(F.regexp_replace("registration", "^VH-", ""), "VH-").alias("prefixed"))
 
 
+@query("""SELECT id, label, CASE WHEN label = 'active' THEN 'green' WHEN label IN ('stored', 'withdrawn') THEN 'yellow' WHEN label IN ('destroyed', 'scrapped', 'written off') THEN 'red' ELSE 'gray' END AS severity
+ FROM (SELECT id, CASE WHEN status >= 0 AND status < 6 THEN ['active', 'withdrawn', 'hull_loss', 'scrapped', 'stored', 'written_off'][status + 1] END AS label FROM aircraft)""")
+def severity_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "aircraft").select("id", scalars.decode(F.col("status"), list(STATUSES)).alias("label"))
+    return a.select("id", "label", scalars.severity(F.col("label")).alias("severity"))
+
+
+@query("SELECT unnest(['Active', 'Withdrawn', 'Hull Loss', 'Scrapped', 'Stored', 'Written Off']) AS label, unnest(['active', 'withdrawn', 'hull_loss', 'scrapped', 'stored', 'written_off']) AS value")
+def status_labels(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame([(s,) for s in STATUSES], "value string")
+    return d.select(scalars.titleize(F.col("value")).alias("label"), "value")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (name IS NULL) AS name, count(*) FILTER (icao_code IS NULL) AS icao_code, count(*) FILTER (iata_code IS NULL) AS iata_code, count(*) FILTER (import_date IS NULL) AS import_date, count(*) FILTER (data IS NULL) AS data FROM operator_sources")
+def not_null_counts(spark: SparkSession, sf: str) -> DataFrame:
+    s = table(spark, sf, "operator_sources")
+    return s.agg(F.count("*").alias("n")).crossJoin(validate.null_counts(s, ["name", "icao_code", "iata_code", "import_date", "data"]))  # one row each
+
+
+@query("SELECT id, coalesce(trim(icao_code), '') <> '' OR coalesce(trim(iata_code), '') <> '' AS has_code FROM operator_sources")
+def code_needed(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "operator_sources").select("id", (validate.present("icao_code") | validate.present("iata_code")).alias("has_code"))
+
+
+@query()
+def valid_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Callsign patterns of the sources and whether they are regular expressions."""
+    m = members(F.col("data"))
+    p = table(spark, sf, "operator_sources").select(F.explode(F.array(m["positioning_callsign_pattern"], m["charter_callsign_pattern"])).alias("pattern")).where(F.col("pattern").isNotNull()).distinct()
+    return p.select("pattern", validate.compiles(F.col("pattern")).alias("compiles"))
+
+
+@query()
+def operator_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Owners as operators: canonical, titled, found by their leading words, or new."""
+    return resolve.search_or_create(table(spark, sf, "aircraft"), "owner", table(spark, sf, "operators"))
+
+
 # Scalars
 
 
@@ -464,6 +504,11 @@ def search_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(search.postings(d, "id", _ATTRIBUTES), "id", " ".join(w for w, _, _ in _WORDS))
 
 
+@query("SELECT id, registration FROM aircraft WHERE (registration, id) > ('VH-', 0) ORDER BY registration, id LIMIT 25")
+def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
+    return search.after(table(spark, sf, "aircraft").select("id", "registration"), ["registration", "id"], ("VH-", 0), 25)
+
+
 @query("SELECT *, CAST(ceil((SELECT count(*) FROM aircraft) / 25.0) AS INT) AS n_pages, false AS is_last_page FROM (SELECT id, registration FROM aircraft ORDER BY registration NULLS FIRST, id LIMIT 25 OFFSET 50)")
 def paginate(spark: SparkSession, sf: str) -> DataFrame:
     return search.page(table(spark, sf, "aircraft").select("id", "registration"), ["registration", "id"], 3, 25)

@@ -44,35 +44,40 @@ def cell_text(cell: Column) -> Column:
 
 
 class _Cells(HTMLParser):
-    """Texts of the elements of given classes, in order."""
+    """Texts of the elements of given classes, or of these elements' own children, in order."""
 
-    def __init__(self, classes: frozenset[str]):
+    def __init__(self, classes: frozenset[str], children: bool):
         super().__init__(convert_charrefs=True)
-        self.classes, self.depth, self.texts = classes, 0, []
+        self.classes, self.depth, self.texts, self.least = classes, 0, [], 2 if children else 1
 
     def handle_starttag(self, tag, attrs):
         if self.depth:
             self.depth += tag not in ("br", "img", "hr", "input", "meta", "link")
         elif self.classes & set((dict(attrs).get("class") or "").split()):
-            self.depth, self.texts = 1, [*self.texts, ""]
+            self.depth = 1
+        else:
+            return
+        if self.depth == self.least and tag not in ("br", "img", "hr", "input", "meta", "link"):
+            self.texts.append("")
 
     def handle_endtag(self, tag):
         self.depth = max(0, self.depth - (tag not in ("br", "img", "hr", "input", "meta", "link")))
 
     def handle_data(self, data):
-        if self.depth:
+        if self.depth >= self.least:
             self.texts[-1] += data
 
 
-def labelled_pairs(pages: DataFrame, key: str, html: str, classes: tuple[str, ...]) -> DataFrame:
-    """(key, pos, label, value): elements of ``classes`` taken two by two; an odd last one has a null value. General HTML."""
+def labelled_pairs(pages: DataFrame, key: str, html: str, classes: tuple[str, ...], children: bool = False) -> DataFrame:
+    """(key, pos, label, value): elements of ``classes``, or their children, two by two; an odd last one has a null value.
+    General HTML."""
     wanted = frozenset(classes)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for k, page in zip(f[key], f[html]):
-                p = _Cells(wanted)
+                p = _Cells(wanted, children)
                 p.feed(page or "")
                 for i in range(0, len(p.texts), 2):
                     out.append((k, i // 2, p.texts[i], p.texts[i + 1] if i + 1 < len(p.texts) else None))

@@ -226,3 +226,59 @@ def test_merge_of_all_sources_keeps_rejected_rows(spark):
     got = {(r.phase, r.src, tuple(r.errors)) for r in resolve.combine_all([side((1, "One", "AAA", None), (2, "Two", "aa", None)), side((11, "Other", "aaa", None)), side((21, "One", "AAA", "A1"), (22, None, "CCC", None))]).collect()}
     assert got == {(1, 1, ()), (1, 2, ("icao_code",)), (2, 11, ("icao_code",)), (3, 22, ("name",))}
     assert [tuple(r.errors) for r in resolve.combine_all([side((1, "One", "AAA", None))]).collect()] == [()]
+
+
+def test_imports_keep_every_field(spark, tmp_path):
+    """Callsign patterns and alternative names come along; rows that break a rule are collected."""
+    batch = spark.createDataFrame([(1, "Virgin", "VIR", "VS", "8\\d", None)], "row_no int, name string, icao_code string, iata_code string, positioning_callsign_pattern string, charter_callsign_pattern string")
+    got = pipelines.import_airlines(None, batch, "2025-01-01").collect()[0]
+    assert (got.positioning_callsign_pattern, got.charter_callsign_pattern) == ("8\\d", None)
+    head = "pk^validity_from^validity_to^3char_code^2char_code^num_code^name^name2^wiki_link^alt_names"
+    (tmp_path / "v.csv").write_text("\n".join([head, "air-pal^^^PAL^PR^^Philippine Airlines^^^en|PAL Express|=en|Air Philippines|", "air-x^^^xx^PX^^Bad Code^^^", "air-y^^^^^^No Code^^^", "not-z^^^ZZZ^ZZ^^Other^^^"]) + "\n")
+    table, bad, report = pipelines.checked_airline_versions(pipelines.empty_source(spark), text.read_delimited(spark, str(tmp_path / "v.csv"), sep="^"), "2025-01-01")
+    assert [(r.icao_code, r.alt_names) for r in table.collect()] == [("PAL", ["PAL Express", "Air Philippines"])]
+    assert sorted((r.name, tuple(r.errors)) for r in bad.collect()) == [("Bad Code", ("icao_code",)), ("No Code", ("code",))]
+    assert tuple(report.collect()[0])[:3] == ("OpenTravel", 3, 2)
+    makers = spark.createDataFrame([(1, "BOEING", "Old"), (2, "BOEING", "Boeing"), (3, "", "None"), (4, "X", None)], "row_no int, Code string, Name string")
+    assert [tuple(r)[:2] for r in pipelines.import_makers(makers, "2025-01-01").collect()] == [("BOEING", "Boeing")]
+    schema = "iso_2char_code string, iso_3char_code string, iso_num_code string, name string, capital string"
+    src = spark.createDataFrame([("AT", "AUT", "040", "Austria", "Vienna"), ("FR", "FRA", "250", "France", "Paris")], schema)
+    old = spark.createDataFrame([("AT", "AUT", "040", "Austria", None), ("ES", "ESP", "724", "Spain", "Madrid")], schema).withColumn("updated_at", F.lit(T(2020, 1, 1)))
+    assert {(r.iso_2char_code, r.capital, r.outcome) for r in pipelines.combine_countries(src, old, "2025-01-01").collect()} == {("AT", "Vienna", "updated"), ("FR", "Paris", "inserted"), ("ES", "Madrid", "kept")}
+
+
+def test_alternative_names_in_fuzzy_matches(spark):
+    left = spark.createDataFrame([(1, "Air Philippines", "PAL", None)], S)
+    right = spark.createDataFrame([(2, "Zzz", "PAL", "PR", ["Air Philippines"]), (3, "Air Phil", "PAL", "P2", None)], S + ", alt array<string>")
+    assert [(r.r_id, r.confidence) for r in resolve.fuzzy_matches(left, right, "alt").collect()] == [(2, 1.0)]
+    assert [r.r_id for r in resolve.fuzzy_matches(left, right).collect()] == [3]
+
+
+def test_lookups_by_canonical_name(spark):
+    dim = spark.createDataFrame([(5, "Qantas"), (6, "Qantas Link"), (7, "Acme Air Cargo"), (8, "Acme"), (9, None)], "id long, name string")
+    names = spark.createDataFrame([("QANTAS AIRWAYS LIMITED",), ("ACME AIR PTY LTD",), ("NEWCO PTY LTD",), (" ",), (None,), ("NEWCO PTY LTD",)], "owner string")
+    got = {r.name: (r.title, r.dim_id, r.created) for r in resolve.search_or_create(names, "owner", dim, F.lit(-1).cast("long")).collect()}
+    assert got == {"QANTAS AIRWAYS LIMITED": ("Qantas", 5, False), "ACME AIR PTY LTD": ("Acme Air", 7, False), "NEWCO PTY LTD": ("Newco", -1, True)}
+    makers = spark.createDataFrame([(1, "Boeing"), (2, "Textron Aviation"), (3, "Boeing")], "id long, name string")
+    df = spark.createDataFrame([("The Boeing Company", 1), ("TEXTRON AVIATION INC", 2), ("Unknown", 3), (None, 4)], "maker string, k int")
+    assert {r.k: r.maker_id for r in resolve.lookup_maker(df, "maker", makers).collect()} == {1: 1, 2: 2, 3: None, 4: None}
+    types = spark.createDataFrame([(10, 2, "172"), (11, 2, "172"), (12, 1, "172")], "id long, manufacturer_id int, name string")
+    models = spark.createDataFrame([(1, "Textron Aviation 172"), (2, "Textron Aviation 999"), (3, "Foo 172")], "k int, model string")
+    assert {tuple(r) for r in resolve.lookup_type(models, "k", "model", makers, types).collect()} == {(1, 2, 10), (2, 2, None)}
+
+
+def test_patterns_and_pages(spark):
+    df = spark.createDataFrame([("8\\d{2}",), ("(",), ("",), (None,)], "p string")
+    assert [r[0] for r in df.select(validate.compiles(F.col("p"))).collect()] == [True, False, True, True]
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 0), (None, 5), ("c", 9)], "x string, id long")
+    assert [tuple(r) for r in search.after(rows, ["x", "id"], None, 2).collect()] == [(None, 5), ("a", 1)]
+    assert [tuple(r) for r in search.after(rows, ["x", "id"], ("a", 1), 3).collect()] == [("a", 2), ("b", 0), ("c", 9)]
+
+
+def test_register_pages(spark):
+    cell = lambda a, b: f'<div class="field x"><div>{a}</div><div><b>{b}</b><br></div></div>'
+    html = cell("Aircraft model", "A320-232") + cell("ICAO type designator", "A320") + cell("Date first registered", "04 Aug 2014") + cell("Serial", "7") + cell("Registration holder", "X") + cell("Registered operator", "QANTAS AIRWAYS")
+    pages = spark.createDataFrame([("ABC", html), ("VH-ABD", html)], "registration string, html string")
+    types, ops = spark.createDataFrame([(1, "A320")], "id long, type_code string"), spark.createDataFrame([(2, "Qantas")], "id long, name string")
+    ok, bad, missing = pipelines.import_register_pages(pages, types, ops, 1)
+    assert {(r.registration, r.icao, r.aircraft_type_id, r.operator_id, r.model) for r in ok.collect()} == {("VH-ABC", "7C0026", 1, 2, "A320-200"), ("VH-ABD", "7C0027", 1, 2, "A320-200")} and bad.count() == missing.count() == 0
