@@ -344,3 +344,18 @@ def test_matching_of_a_record_with_many_spellings(spark):
     s = spark.createDataFrame(rows, "id long, name string, icao_code string, iata_code string, type string, data string")
     got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o, WORDS).where(F.col("confidence") >= matching.ACCEPT).collect()}
     assert got == {(r[0], 1) for r in rows}
+
+
+def test_fit_reaches_the_minimum():
+    """Many pairs of equal names whose codes differ, and of other names whose codes agree: whole Newton steps run away there."""
+    # level, shorter code (1 equal, 2 different), share, gap, pairs whose longer codes agree, and differ
+    kinds = [
+        (3, 0, 0.96, 0.64, 707, 145), (3, 1, 0.97, 0.72, 699, 26), (3, 2, 0.83, 0.59, 36, 137), (0, 0, 0.27, -0.45, 430, 1304), (0, 2, 0.27, -0.6, 59, 650), (0, 1, 0.33, -0.49, 10, 60),
+        (2, 0, 0.36, -0.58, 55, 428), (2, 1, 0.66, 0.45, 55, 7), (2, 2, 0.3, -0.6, 5, 370), (1, 0, 0.6, -0.16, 5, 169), (1, 2, 0.53, -0.26, 3, 100),
+    ]
+    rows = [((1, s, g, level == 3, level == 2, level == 1, i == 1, i == 2), y) for level, i, s, g, a, d in kinds for y, n in ((1, a), (0, d)) for _ in range(n)]
+    x, y = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+    prior = np.array(matching.PRIOR_WEIGHTS)
+    w = matching._fit(x, y, prior)
+    slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + matching.PRIOR_PAIRS * (w - prior)
+    assert np.abs(slope).max() < 1e-3 and np.abs(w).max() < 10
