@@ -32,6 +32,8 @@ HEAVY_TOKEN = 20_000
 PRIOR_WEIGHTS, PRIOR_PAIRS = (-4.0, 2.0, 2.0, 5.0, 2.5, 0.0, 2.0, -1.0), 3.0
 #: Pairs that the calibration is fitted on, at most.
 FIT_ON = 20_000
+#: Start of the longer code's tokens; that code labels the pairs which the calibration is fitted on.
+LABEL = "i:"
 #: Least confidence of a match.
 ACCEPT = 0.4
 
@@ -87,7 +89,8 @@ def _fetched(must: DataFrame, query: str, postings: DataFrame, item: str) -> Dat
 
 
 def retrieve(queries: DataFrame, query: str, postings: DataFrame, item: str, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(query, item, score, own): every item that scores at least ``least_share`` of what the query's tokens could reach.
+    """(query, item, score, own, bare, own_bare): every item that scores at least ``least_share`` of what the query's tokens
+    could reach; ``bare`` and ``own_bare`` are both without the tokens that label.
 
     Exact: of each query's tokens, in order of their greatest impact, those that together stay below the threshold can't
     bring an item over it, so only the others fetch candidates; these are then scored by all tokens.
@@ -102,9 +105,11 @@ def retrieve(queries: DataFrame, query: str, postings: DataFrame, item: str, lea
     q = written(q.withColumn("must", F.col("_below") >= least_share * F.col("own")), "queries")
     cand = _fetched(q.where("must"), query, postings, item)
     have = postings.groupBy(item).agg(F.map_from_entries(F.collect_list(F.struct("token", "impact"))).alias("_m"))
-    want = q.groupBy(query).agg(F.collect_list("token").alias("_t"), F.first("own").alias("own"))
-    score = F.aggregate("_t", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(F.col("_m"), t), F.lit(0.0)))
-    return cand.join(want, query).join(have, item).select(query, item, score.alias("score"), "own").where(F.col("score") >= least_share * F.col("own"))
+    labels = F.col("token").startswith(LABEL)
+    want = q.groupBy(query).agg(F.collect_list(F.when(~labels, F.col("token"))).alias("_t"), F.collect_list(F.when(labels, F.col("token"))).alias("_l"), F.first("own").alias("own"), F.sum(F.when(labels, 0.0).otherwise(F.col("ub"))).alias("own_bare"))
+    score = lambda ts, start: F.aggregate(ts, start, lambda a, t: a + F.coalesce(F.try_element_at(F.col("_m"), t), F.lit(0.0)))
+    scored = cand.join(want, query).join(have, item).withColumn("bare", score("_t", F.lit(0.0))).withColumn("score", score("_l", F.col("bare")))
+    return scored.select(query, item, "score", "own", "bare", "own_bare").where(F.col("score") >= least_share * F.col("own"))
 
 
 def nearest(found: DataFrame, query: str, k: int = K, near: float = NEAR) -> DataFrame:
@@ -150,17 +155,21 @@ def _fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray, steps: int = 60, ridge
 FEATURES = ("one", "share", "gap", "same", "part", "coined", "iata_same", "iata_other")
 
 
-def calibrate(pairs: DataFrame) -> tuple[list[float], float, float, float]:
+def calibrate(pairs: DataFrame, items: int) -> tuple[list[float], float, float, float, float]:
     """Weights of the features, and the log odds that an equal or a different longer code adds, and a different one where
-    the names are equal.
+    the names are equal; and those of an item of another name that only its longer code brought among the candidates.
 
-    Pairs whose two records both state the longer code serve as labels of all other evidence: equal or not. The code's own
+    Pairs whose two records both state the longer code serve as labels of all other evidence: equal or not. The features
+    leave that code out, and only pairs that are candidates without it are labels: among those that it fetched, it would
+    agree whether they match or not, the more so the more items share a code. The code's own
     odds come from how often it is equal in pairs of equal names and equal shorter codes, against pairs of different names;
     whether equal names with different longer codes are two entities or a mistyped code, the shorter codes of such pairs tell.
+    An item of another name that the code fetched was drawn from all items, not from the few that are like the record, and
+    its odds are less by that ratio.
     A bounded sample by hash; the fewer labels there are, the nearer the weights stay to PRIOR_WEIGHTS and the odds to 9 of
     10 and 1 of 100.
     """
-    known = pairs.where(F.col("icao") != 0)
+    known = pairs.where((F.col("icao") != 0) & (F.col("share") >= LEAST_SHARE))
     sample = known.orderBy(F.xxhash64("record", "item")).limit(FIT_ON).select(*FEATURES, "icao").toPandas()
     y = (sample["icao"] > 0).to_numpy(float)
     w = _fit(sample[list(FEATURES)].to_numpy(float).reshape(len(y), len(FEATURES)), y, np.array(PRIOR_WEIGHTS))
@@ -175,7 +184,9 @@ def calibrate(pairs: DataFrame) -> tuple[list[float], float, float, float]:
     x = sample[list(FEATURES)].to_numpy(float).reshape(len(y), len(FEATURES))[clash]
     one = (float(sample["iata_same"][told].sum()) + 1) / (told.sum() + 2)
     base = float((x[:, :-2] @ w[:-2]).mean()) if clash.any() else -differ
-    return w.tolist(), agree, differ, max(differ, float(np.log(one / (1 - one))) - base)
+    n = pairs.agg(F.count_if((F.col("level") == 0) & (F.col("share") >= LEAST_SHARE)).alias("near"), F.count_distinct("record").alias("records")).head()
+    near = (n["near"] + 1) / (n["records"] + 1)
+    return w.tolist(), agree, differ, max(differ, float(np.log(one / (1 - one))) - base), min(0.0, float(np.log(near / max(items, 1))))
 
 
 def match(records: DataFrame, items: DataFrame, weak: frozenset[str] = frozenset()) -> DataFrame:
@@ -198,27 +209,30 @@ def match(records: DataFrame, items: DataFrame, weak: frozenset[str] = frozenset
         return F.when((F.size(mine) > 0) & (F.size(theirs) > 0), F.when(F.arrays_overlap(mine, theirs), 1).otherwise(-1))
 
     who = F.array_join(F.transform("names_b", lambda n: F.concat_ws(" ", n["core"], F.array_join(F.array_sort(F.split(n["rest"], " ")), " "))), "|").alias("who")
-    each = found.join(a, "variant").join(b, "item").select("variant", "item", (F.col("score") / F.col("own")).alias("score"), F.coalesce(level, F.lit(0)).alias("level"), code("i:").alias("icao"), code("a:").alias("iata"), who)
+    # Of a record that states nothing but the longer code, that is all there is.
+    bare = F.when(F.col("own_bare") > 0, F.col("bare") / F.col("own_bare")).otherwise(F.col("score") / F.col("own"))
+    each = found.join(a, "variant").join(b, "item").select("variant", "item", (F.col("score") / F.col("own")).alias("score"), bare.alias("bare"), F.coalesce(level, F.lit(0)).alias("level"), code(LABEL).alias("icao"), code("a:").alias("iata"), who)
     any_ = lambda c: F.coalesce(F.max(c), F.lit(0)).alias(c)
     # All that comes from one record has one hash partition; of its variants the best one holds for each item.
-    pairs = stated.select("record", "variant").join(each, "variant").groupBy("record", "item").agg(F.max("score").alias("score"), F.max("level").alias("level"), any_("icao"), any_("iata"), F.min("who").alias("who"))
-    pairs = nearest(pairs, "record").withColumn("own", F.lit(1.0))
+    pairs = stated.select("record", "variant").join(each, "variant").groupBy("record", "item").agg(F.max("score").alias("score"), F.max("bare").alias("bare"), F.max("level").alias("level"), any_("icao"), any_("iata"), F.min("who").alias("who"))
+    pairs = nearest(pairs, "record")
     by_record, by_item = W.partitionBy("record"), W.partitionBy("item")
-    best = F.max("score").over(by_record)
+    best = F.max("bare").over(by_record)
     # The runner-up is the best candidate of another name than the best one; copies of the best are no rivals.
-    top = F.max_by("who", F.struct("score", "item")).over(by_record)
-    rival = F.coalesce(F.max(F.when(F.col("who") != F.col("_top"), F.col("score"))).over(by_record), F.lit(0.0))
-    pairs = pairs.withColumn("_best", best).withColumn("_top", top).withColumn("_rival", rival).withColumn("_theirs", F.max(F.col("score") / F.col("own")).over(by_item))
-    gap = (F.col("score") - F.when(F.col("who") == F.col("_top"), F.col("_rival")).otherwise(F.col("_best"))) / F.col("own")
+    top = F.max_by("who", F.struct("bare", "item")).over(by_record)
+    rival = F.coalesce(F.max(F.when(F.col("who") != F.col("_top"), F.col("bare"))).over(by_record), F.lit(0.0))
+    pairs = pairs.withColumn("_best", best).withColumn("_top", top).withColumn("_rival", rival).withColumn("_theirs", F.max("score").over(by_item))
+    gap = F.col("bare") - F.when(F.col("who") == F.col("_top"), F.col("_rival")).otherwise(F.col("_best"))
     one = lambda c: c.cast("double")
     pairs = written(
-        pairs.select("record", "item", "icao", "iata", "level", F.lit(1.0).alias("one"), (F.col("score") / F.col("own")).alias("share"), gap.alias("gap"), one(F.col("level") == 3).alias("same"), one(F.col("level") == 2).alias("part"), one(F.col("level") == 1).alias("coined"),
-            one(F.col("iata") > 0).alias("iata_same"), one(F.col("iata") < 0).alias("iata_other"), (F.col("score") / F.col("own") >= NEAR_ITEM * F.col("_theirs")).alias("mutual")),
+        pairs.select("record", "item", "icao", "iata", "level", F.lit(1.0).alias("one"), F.col("bare").alias("share"), gap.alias("gap"), one(F.col("level") == 3).alias("same"), one(F.col("level") == 2).alias("part"), one(F.col("level") == 1).alias("coined"),
+            one(F.col("iata") > 0).alias("iata_same"), one(F.col("iata") < 0).alias("iata_other"), (F.col("score") >= NEAR_ITEM * F.col("_theirs")).alias("mutual")),
         "pairs",
     )
-    w, agree, differ, clash = calibrate(pairs)
+    w, agree, differ, clash, fetched = calibrate(pairs, items.count())
     odds = sum((F.col(f) * x for f, x in zip(FEATURES, w)), F.lit(0.0))
     odds = odds + F.when(F.col("icao") > 0, agree).when((F.col("icao") < 0) & (F.col("same") > 0), clash).when(F.col("icao") < 0, differ).otherwise(0.0)
+    odds = odds + F.when((F.col("level") == 0) & (F.col("share") < LEAST_SHARE), fetched).otherwise(0.0)
     return pairs.where("mutual").select("record", "item", "level", "icao", "iata", "share", "gap", (1 / (1 + F.exp(-odds))).alias("confidence"))
 
 

@@ -359,3 +359,16 @@ def test_fit_reaches_the_minimum():
     w = matching._fit(x, y, prior)
     slope = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + matching.PRIOR_PAIRS * (w - prior)
     assert np.abs(slope).max() < 1e-3 and np.abs(w).max() < 10
+
+
+def test_matching_where_operators_share_codes(spark):
+    """Two operators have each code: an equal code doesn't make a match of other names, nor a label of one."""
+    random.seed(5)
+    names = random.sample([f"{x}{y}{z}" for x in "BDKNPRTVZ" for y in "aeiou" for z in "bdfgklmnprtvz"], 400)
+    kinds = ("Cargo Jet", "Air Services", "Island Airways", "Flying School")
+    ops = [(i, f"{n} {kinds[i // 80 % 4]}", f"K{chr(65 + i % 200 // 20)}{chr(65 + i % 20)}", None) for i, n in enumerate(names)]
+    rows = [(10_000 + i, name, code if i % 10 else None, None, "A", f'{{"source_ref":"R{i}"}}') for i, name, code, _ in ops]
+    o = spark.createDataFrame(ops, "id long, name string, icao_code string, iata_code string")
+    s = spark.createDataFrame(rows, "id long, name string, icao_code string, iata_code string, type string, data string")
+    got = {(r.source_id, r.operator_id) for r in matching.match_operators(s, o, WORDS).where(F.col("confidence") >= matching.ACCEPT).collect()}
+    assert got == {(10_000 + i, i) for i, *_ in ops}
