@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,11 @@ KEEP = 0.27
 #: Prior weight of the corpus's subjects in a term's.
 PRIOR = 1.0
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n|<(?:br|/p|/div|/li)\b[^>]*>")
+#: Pieces of text that are counted at a time, and pieces that a worker remembers before it begins anew; speed and memory only.
+CHUNK, REMEMBERED = 200_000, 500_000
+
+_TAG = re.compile(r"<(?:br|/p|/div|/li)\b[^>]*>")
+_SENTENCE = re.compile(rf"(?<=[.!?])\s+|\n|{_TAG.pattern}")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -54,15 +60,88 @@ def own_text(text: str, foreign: frozenset[str]) -> str:
     return "\n".join(x for x in _SENTENCE.split(text) if foreign.isdisjoint(_WORD.findall(x.lower())))
 
 
-class _Words(dict):
-    """Lower-case words of a blank-separated piece of text, remembered."""
+class _Pieces(dict):
+    """Blank-separated pieces of text, numbered as they are met, and the lower-case words in them, numbered likewise.
+
+    ``known`` gives words a row of a model, all others have -1.
+    """
+
+    def __init__(self, known: dict[str, int], foreign: frozenset[str]) -> None:
+        self.known, self.foreign = known, foreign
+        self.words: dict[str, int] = {}
+        self.rows = array("i")  # by word
+        self.at, self.held = array("q", [0]), array("i")  # where a piece's words begin, and the words
+        self.ends, self.tells = bytearray(), bytearray()  # by piece: it ends a sentence, it holds a foreign word
+
+    def __missing__(self, piece: str) -> int:
+        found = _WORD.findall(piece.lower())
+        for w in found:
+            n = self.words.get(w)
+            if n is None:
+                n = self.words[w] = len(self.words)
+                self.rows.append(self.known.get(w, -1))
+            self.held.append(n)
+        self.at.append(len(self.held))
+        self.ends.append(piece[-1] in ".!?")
+        self.tells.append(not self.foreign.isdisjoint(found))
+        n = self[piece] = len(self)
+        return n
+
+
+class _Chunk(NamedTuple):
+    """Texts from..to of a batch as words: every word's text and sentence, counted from 0, and its number in ``pieces``."""
+
+    start: int
+    stop: int
+    pieces: _Pieces
+    text: np.ndarray
+    sentence: np.ndarray
+    word: np.ndarray
+
 
-    def __missing__(self, piece: str) -> tuple[str, ...]:
-        words = tuple(_WORD.findall(piece.lower()))
-        if len(self) > 1_000_000:
-            self.clear()
-        self[piece] = words
-        return words
+def _chunks(texts: list[str], pieces: _Pieces) -> Iterator[_Chunk]:
+    """All words of the texts but those of sentences that hold a foreign word, some CHUNK pieces at a time.
+
+    Texts are cut into sentences as by _SENTENCE, except at tags, which callers take out.
+    """
+    start, ids, lines, ends = 0, array("i"), array("q", [0]), array("q", [0])
+    for i, t in enumerate(texts, 1):
+        for line in t.split("\n"):
+            ids.extend(map(pieces.__getitem__, line.split()))
+            lines.append(len(ids))
+        ends.append(len(ids))
+        if len(ids) < CHUNK and i < len(texts):
+            continue
+        piece = np.array(ids, np.int32)
+        text = np.repeat(np.arange(i - start, dtype=np.int32), np.diff(np.array(ends, np.int64)))
+        begins = np.zeros(len(piece) + 1, np.bool_)
+        begins[np.array(lines, np.int64)] = True
+        begins[1:] |= np.array(pieces.ends, np.bool_)[piece]
+        sentence = np.cumsum(begins[:-1], dtype=np.int32) - 1
+        apart = np.array(pieces.tells, np.bool_)[piece]
+        if apart.any():
+            gone = np.zeros(sentence[-1] + 1, np.bool_)
+            gone[sentence[apart]] = True
+            kept = ~gone[sentence]
+            piece, text, sentence = piece[kept], text[kept], sentence[kept]
+        at = np.array(pieces.at, np.int64)
+        n = np.diff(at)[piece]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        word = np.array(pieces.held, np.int32)[np.repeat(at[piece], n) + nth]
+        yield _Chunk(start, i, pieces, np.repeat(text, n), np.repeat(sentence, n), word)
+        start, ids, lines, ends = i, array("i"), array("q", [0]), array("q", [0])
+        if len(pieces) > REMEMBERED:
+            pieces = _Pieces(pieces.known, pieces.foreign)
+
+
+def _pairs(first: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each is there."""
+    pair = first.astype(np.int64) * words + word
+    pair.sort()
+    at = np.flatnonzero(np.diff(pair, prepend=-1))
+    pair, n = pair[at], np.diff(at, append=len(pair))
+    first = pair // max(words, 1)
+    return first, pair - first * words, n
 
 
 def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[float]] | None = None, foreign: frozenset[str] = frozenset()) -> DataFrame:
@@ -71,37 +150,34 @@ def term_counts(docs: DataFrame, key: str, text: str, model: dict[str, list[floa
     the subjects' shares among its terms, null where the text has none of them.
     """
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model) if model is not None else None  # FIT_TERMS at most
+    shared = docs.sparkSession.sparkContext.broadcast((list(model), np.array(list(model.values()) or [[0.0]]))) if model is not None else None  # FIT_TERMS at most
 
-    def count(t: str, words: _Words) -> dict[str, int]:
-        n: dict[str, int] = {}
-        for piece, c in Counter(t.split()).items():
-            for w in words[piece]:
-                n[w] = n.get(w, 0) + c
-        return n
+    def untagged(t: str) -> str:
+        if foreign and "<" in t and _TAG.search(t) and not foreign.isdisjoint(_WORD.findall(t.lower())):
+            return own_text(t, foreign)
+        return t
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        known = shared.value if shared else {}
-        k = len(next(iter(known.values()), [0.0])) - 1
-        log = [math.log1p(c) for c in range(1024)]
+        known, weights = shared.value if shared else ([], np.zeros((1, 1)))
+        k = weights.shape[1] - 1
+        pieces = _Pieces({w: i for i, w in enumerate(known)}, foreign)
         for batch in batches:
-            ends, terms, lf, q = [0], [], [], []
-            for t in batch.column(1).to_pylist():
-                n = count(t, words)
-                if not foreign.isdisjoint(n):
-                    n = count(own_text(t, foreign), words)
-                logs = [log[c] if c < 1024 else math.log1p(c) for c in n.values()]
-                terms.extend(n)
-                lf.extend(logs)
-                ends.append(len(terms))
+            for c in _chunks([untagged(t) for t in batch.column(1).to_pylist()], pieces):
+                pieces, m = c.pieces, c.stop - c.start
+                doc, word, n = _pairs(c.text, c.word, len(pieces.words))
+                lf = np.log1p(n)
+                at = pa.array(np.searchsorted(doc, np.arange(m + 1)), pa.int32())
+                terms = pa.array(list(pieces.words), pa.string()).take(pa.array(word))
+                cols = [batch.column(0).slice(c.start, m), pa.ListArray.from_arrays(at, terms), pa.ListArray.from_arrays(at, pa.array(lf, pa.float32()))]
                 if shared:
-                    hits = [(known[w], x) for w, x in zip(n, logs) if w in known]
-                    total = sum(m[k] * x for m, x in hits)
-                    q.append([sum(m[i] * x for m, x in hits) / total for i in range(k)] if total > 0 else None)
-            at = pa.array(ends, pa.int32())
-            cols = [batch.column(0), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(lf, pa.float32()))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(q, pa.list_(pa.float64()))] * bool(shared), names=[key, "terms", "lf", "q"][: len(cols) + bool(shared)])
+                    row = np.array(pieces.rows, np.int32)[word]
+                    hit = np.flatnonzero(row >= 0)
+                    row, doc, lf = row[hit], doc[hit], lf[hit]
+                    sums = np.stack([np.bincount(doc, weights[row, i] * lf, m) for i in range(k + 1)], 1)
+                    told = sums[:, k] > 0
+                    q = (sums[told, :k] / sums[told, k:]).ravel()
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(told * k)), pa.int32()), pa.array(q, pa.float64()), mask=pa.array(~told)))
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "terms", "lf", "q"][: len(cols)])
 
     return docs.where(F.col(text).rlike(rf"[^{BLANKS}]")).select(key, text).mapInArrow(work, f"{key} {kind}, terms array<string>, lf array<float>" + ", q array<double>" * bool(shared))
 
@@ -115,25 +191,26 @@ def foreign_words(docs: DataFrame, labels: DataFrame, key: str, text: str, model
     shared = docs.sparkSession.sparkContext.broadcast({t: max(range(len(m) - 1), key=m.__getitem__) for t, m in model.items()})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subject_of = shared.value
-        n: Counter = Counter()
-        own: Counter = Counter()
+        pieces = _Pieces(shared.value, frozenset())
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen: Counter = Counter()
-                right: Counter = Counter()
-                for sentence in _SENTENCE.split(t):
-                    words = set(_WORD.findall(sentence.lower()))
-                    telling = words & subject_of.keys()
-                    if telling:
-                        ok = sum(y[subject_of[w]] > 0 for w in telling) / len(telling)
-                        for w in words - telling:
-                            seen[w] += 1
-                            right[w] += ok
-                for w, c in seen.items():
-                    n[w] += 1
-                    own[w] += right[w] / c
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([float(own[w]) for w in n], pa.float64())], names=["word", "n", "own"])
+            own = np.array(batch.column(1).to_pylist()) > 0
+            for c in _chunks([_TAG.sub("\n", t) if "<" in t else t for t in batch.column(0).to_pylist()], pieces):
+                pieces, words = c.pieces, len(c.pieces.words)
+                sentence, word, _ = _pairs(c.sentence, c.word, words)
+                text_of = np.zeros(sentence.max(initial=-1) + 1, np.int64)
+                text_of[c.sentence] = c.text
+                subject = np.array(pieces.rows, np.int32)[word]
+                telling = subject >= 0
+                at = sentence[telling]
+                n = np.bincount(at, minlength=len(text_of))
+                right = np.bincount(at, own[c.start + text_of[at], subject[telling]], len(text_of)) / np.maximum(n, 1)
+                rest = ~telling & (n[sentence] > 0)
+                sentence, word = sentence[rest], word[rest]
+                pair, of, times = np.unique(text_of[sentence] * words + word, return_inverse=True, return_counts=True)
+                mean, word = np.bincount(of, right[sentence], len(pair)) / times, pair % max(words, 1)
+                seen = np.bincount(word, minlength=words)
+                some = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array(list(pieces.words), pa.string()).take(pa.array(some)), pa.array(seen[some], pa.int64()), pa.array(np.bincount(word, mean, words)[some], pa.float64())], names=["word", "n", "own"])
 
     rows = docs.where(F.col(text).rlike(rf"[^{BLANKS}]")).join(F.broadcast(labels), key).select(text, "y")  # FIT_ON rows at most
     sums = written(rows.mapInArrow(work, "word string, n long, own double").groupBy("word").agg(F.sum("n").alias("n"), F.sum("own").alias("own")), "words")
